@@ -29,6 +29,12 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring_dedup import remove_passages
 
@@ -49,7 +55,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_suffix_dedup, op5_url_filter, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
+    f.__name__: f for f in (op1_quality_rules, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

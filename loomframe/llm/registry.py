@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,15 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .context_tree import score_texts
+
+    docs = table(spark, sf_dir, "documents")
+    held = fold() == 1
+    scored = score_texts(docs.select(F.struct("doc_id", held.alias("held_out")).alias("row"), "text", held.alias("held_out")), ~F.col("held_out"), "row")
+    return scored.select("row.doc_id", "row.held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_coded", "bits_per_byte")
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -55,7 +64,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
+    f.__name__: f for f in (op1_quality_rules, op3_context_tree_weighting, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

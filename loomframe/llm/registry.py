@@ -16,6 +16,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import decontaminate
+
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 def op3_context_tree_weighting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .context_tree import score_texts
 
@@ -64,7 +70,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op3_context_tree_weighting, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_context_tree_weighting, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -57,6 +57,15 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_attention_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_mil import score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"), fold() != 0)
+    scored = score(docs, model)
+    return scored.select("doc_id", (fold() == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .license_scan import scan_licenses
 
@@ -70,7 +79,7 @@ def op10_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_context_tree_weighting, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op9_license_scan, op10_sum_of_squares_packing)
+    f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_context_tree_weighting, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op8_attention_mil, op9_license_scan, op10_sum_of_squares_packing)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -114,8 +114,7 @@ def window_rows(keys: pa.Array, code: np.ndarray, value: np.ndarray, own: np.nda
     row = np.searchsorted(own, at, "right") - 1
     slots = []
     for a, n in zip(at.tolist(), size.tolist()):
-        v = value[a : a + n]
-        slots.append(v[v != 0].view(np.int64).tolist())
+        slots.append(value[a : a + n].view(np.int64).tolist())
     return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at - own[row]), pa.array(slots, pa.list_(pa.int64()))], names=["key", "h", "at", "slots"])
 
 
@@ -164,9 +163,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
     texts = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
     seen = texts.mapInArrow(of_docs, f"key {key_kind}, h long, at long, slots array<long>, row long")
     # A document's windows with one hash, and an item's, meet on one diagonal each; alignments are bounded by items.
-    met = seen.join(wanted.drop("size"), "h").withColumn("pairs", F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")))
-    diagonal = met.groupBy("key", "row", "item", (F.col("at") - F.col("q")).alias("diagonal")).agg(F.collect_set("q").alias("q"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"))
-    pairs = F.col("pairs")
+    slots = F.transform(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda p, i: F.struct((F.col("q") + i).alias("at"), p["x"].alias("x"), p["y"].alias("y")))
+    met = seen.join(wanted, "h").withColumn("pairs", F.filter(slots, lambda p: p["x"] != 0))
+    diagonal = met.groupBy("key", "row", "item", (F.col("at") - F.col("q")).alias("diagonal")).agg(
+        F.collect_set("q").alias("q"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("q").alias("low"), F.max(F.col("q") + F.col("size") - 1).alias("high")
+    )
+    # A name at an end of the alignment may have run together with a word outside of it, so it proves nothing.
+    inner = F.filter("pairs", lambda p: (p["at"] > F.col("low")) & (p["at"] < F.col("high")))
+    pairs = F.array_distinct(F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
     whole = wanted.groupBy("item").agg(F.countDistinct("q").alias("whole"))
     found = diagonal.filter(consistent).select("key", "row", "item", F.explode("q").alias("q")).groupBy("key", "row", "item").agg(F.countDistinct("q").alias("held"))

@@ -35,6 +35,8 @@ _U = np.uint64
 BATCH_BYTES, STEP = 4 << 20, 1 << 19
 #: Different contexts (counted by batch) from which an anchor's runs go alone, and its windows go alone.
 ALONE, SINGLE = 48, 1024
+#: Symbols in one call of a matcher, unless one key has more.
+MATCHED = 1 << 18
 #: Ids of documents without one: the smallest.
 NO_ID = -(1 << 63)
 FINGERPRINT = _U((1 << 48) - 1)
@@ -151,7 +153,7 @@ def census(batch: Batch, shape: Shape) -> tuple[np.ndarray, ...]:
     order = np.argsort(anchor, kind="stable")
     key = anchor[order]
     head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    tail = np.append(head[1:], len(key))
+    tail = np.append(head[1:], len(key))[: len(head)]
     own = batch.ids[row[order]]
     pairs = np.unique(key << _U(16) | context[order]) >> _U(16)
     contexts = np.diff(np.searchsorted(pairs, np.append(key[head], FINGERPRINT + _U(1))))
@@ -246,7 +248,7 @@ def parcels(batch: Batch, shape: Shape, answers: list[bytes], buckets: int) -> l
         _, first, which = np.unique(content[x] + _U(31) * length[x].astype(_U), return_index=True, return_inverse=True)
         f = x[first]
         places = packed(which.astype("u4"), row[x].astype("u4"), (start[x] - batch.offsets[row[x]]).astype("u4"), batch.ids[row[x]])
-        out.append((bucket, gathered(batch.codes, start[f], length[f]).tobytes(), packed(content[f], length[f].astype("u4")), places))
+        out.append((bucket, gathered(batch.codes, start[f], length[f]).tobytes(), packed(content[f], length[f].astype("u4"), key[f]), places))
     return out
 
 
@@ -255,20 +257,31 @@ def settle_records(shape: Shape, matcher: Matcher, batches: np.ndarray, contents
     kind = _U if shape.words else np.uint8
     symbols = np.concatenate([np.frombuffer(c, kind) for c in contents])
     parts, where = [unpacked(h) for h in heads], [unpacked(p) for p in places]
-    content, length = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+    content, length, key = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
     length = length.astype(np.int64)
     base = np.cumsum([0] + [len(p[0]) for p in parts])
     record = np.concatenate([w[0] + b for w, b in zip(where, base)]).astype(np.int64)
     row, start, ids = (np.concatenate([w[i] for w in where]) for i in (1, 2, 3))
     asker = np.repeat(np.arange(len(where)), [len(w[0]) for w in where])
     _, first, which = np.unique(content + _U(31) * length.astype(_U), return_index=True, return_inverse=True)
-    one = which[record]
+    by_key = np.argsort(key[first], kind="stable")
+    place = np.empty(len(first), np.int64)
+    place[by_key] = np.arange(len(first))
+    first, one = first[by_key], place[which[record]]
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, one, ids)
     offsets = np.cumsum(length) - length
-    mine = gathered(symbols, offsets[first], length[first])
-    bounds = np.concatenate([[0], np.cumsum(length[first])])
-    smallest = matcher(mine, bounds, least, shape.window)
+    # Equal windows have one key, so keys can be matched one after another, a bounded number of symbols at a time.
+    ends = np.append(np.flatnonzero(np.diff(key[first])) + 1, len(first))
+    reach = np.cumsum(length[first])[ends - 1]
+    smallest, a = [], 0
+    while a < len(first):
+        done = int(reach[np.searchsorted(ends, a, "right") - 1]) if a else 0
+        b = int(ends[max(np.searchsorted(reach, done + MATCHED, "right") - 1, np.searchsorted(ends, a, "right"))])
+        f = first[a:b]
+        smallest.append(matcher(gathered(symbols, offsets[f], length[f]), np.concatenate([[0], np.cumsum(length[f])]), least[a:b], shape.window))
+        a = b
+    smallest = np.concatenate(smallest)
     windows = length[first] - shape.window + 1
     begin = np.cumsum(windows) - windows
     later = ids > least[one]  # the whole content stands in a smaller document
@@ -279,12 +292,12 @@ def settle_records(shape: Shape, matcher: Matcher, batches: np.ndarray, contents
         at = np.arange(n.sum()) + np.repeat(begin[one[rest]] - (np.cumsum(n) - n), n)
         lower = smallest[at] < np.repeat(ids[rest], n)
         owner = np.repeat(np.arange(len(rest)), n)
-        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        spot = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         same = np.concatenate([[False], (owner[1:] == owner[:-1]) & lower[:-1]])
         head = np.flatnonzero(lower & ~same)
         tail = np.flatnonzero(lower & ~np.append(same[1:] & lower[1:], False))
         r = rest[owner[head]]
-        rows.append((asker[r], row[r], start[r] + place[head], start[r] + place[tail] + shape.window))
+        rows.append((asker[r], row[r], start[r] + spot[head], start[r] + spot[tail] + shape.window))
     asker, row, start, end = (np.concatenate(x) for x in zip(*rows))
     return [(int(batches[k]), packed(row[x].astype("u4"), start[x].astype("u4"), end[x].astype("u4"))) for k, x in by_bucket(asker)]
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .common import fold, table
 
 
@@ -82,5 +83,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_quality_rules, op2_decontamination, op3_context_tree_weighting, op4_suffix_dedup, op5_url_filter, op6_minhash_near_dedup, op7_substring_dedup, op8_attention_mil, op9_license_scan, op10_sum_of_squares_packing)
 }
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+#: DuckDB SQL for the queries that SQL can express, and fast enough on whole tables.
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": oracles.URL_FILTER, "op6_minhash_near_dedup": oracles.NEAR_DEDUP, "op7_substring_dedup": oracles.SUBSTRING_DEDUP}

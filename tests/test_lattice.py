@@ -129,3 +129,26 @@ def test_weighted_estimates(spark):
     assert g == pytest.approx(2 * ((w * e * d).sum() / w.sum() - mean * (w * d).sum() / w.sum()))
     x = estimators.conjugate_gradient(rows, "s", "p", "d", "e", 3)
     assert x[0] == pytest.approx((d * e).sum() / (d * d).sum())
+
+
+def test_dense_matrices(spark):
+    from loomframe.operators.dense import Dense, pseudo_inverse_direction
+
+    r = np.random.default_rng(7)
+    x, y = r.normal(size=(7, 10)), r.normal(size=(10, 5))
+    a, b = Dense.of(spark, x, 4), Dense.of(spark, y, 4)
+    assert np.allclose(a.multiply(b).local(), x @ y)
+    assert np.allclose(a.redistribute(3).local(), x)
+    assert np.allclose(a.multiply_vector(y[:, 0]), x @ y[:, 0])
+    assert np.allclose(pseudo_inverse_direction(a, x[:, 0]), x.T @ np.linalg.pinv(x @ x.T) @ x[:, 0], atol=1e-8)
+
+
+def test_fermion_terms(spark):
+    from loomframe.sources.terms import state_from_terms
+
+    rows = [([0, 1], [True, False], 1.0), ([1, 0], [True, False], 0.5), ([1, 0], [True, False], 0.5), ([0, 0], [True, False], 1e-9)]
+    terms = spark.createDataFrame(rows, "sites array<int>, daggers array<boolean>, coefficient double")
+    state = state_from_terms(terms, 1, 2, 1e-6)
+    assert np.allclose(np.linalg.eigvalsh(state.matrix()), [-1, 0, 0, 1])
+    with pytest.raises(ValueError):
+        state_from_terms(spark.createDataFrame([([0], [True], 1.0)], terms.schema), 1, 2)

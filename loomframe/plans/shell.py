@@ -8,9 +8,11 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
+from ..operators import conversion
+from ..operators.sampling import SamplingLattice
 from ..operators.simple_update import SimpleUpdate
 from ..sources.text import read_tensor, write_tensor
-from . import models
+from . import models, plugins
 
 
 def lines(text: str) -> Iterator[str]:
@@ -95,3 +97,37 @@ class Shell:
 
     def do_su_to_ex(self) -> None:
         self.ex_state, self.ex = self.su.state, self.su.to_exact(self.spark)
+
+    def do_su_to_gm(self, cut: int = 16) -> None:
+        self.gm = conversion.sampling_from_simple(self.su, cut)
+
+    def do_gm_create(self, name: str, *args: Any, D: int = 2, cut: int = 16, **kwargs: Any) -> None:
+        self.gm = SamplingLattice.create(models.find(name)(*args, **kwargs), D, cut, self.seed_value)
+
+    def do_gm_conf_create(self, name: str) -> None:
+        self.begin = plugins.beginnings.find(name)
+
+    def do_gm_run(self, samples: int, steps: int, rate: float, sampling: str = "sweep", chains: int = 4, restrict: str | None = None, **options: Any) -> list[tuple[float, float]]:
+        sites = dict.fromkeys(self.gm.tensors, 0)
+        begin = getattr(self, "begin", None)
+        start = (lambda _: begin(sites)) if begin else None
+        check = plugins.restrictions.find(restrict) if restrict else None
+        return list(self.gm.descend(self.spark, steps, rate, sampling, chains, samples, self.seed_value, start=start, restrict=check, **options))
+
+    def do_gm_expand(self, new: float, noise: float = 0.01) -> None:
+        conversion.expand_dimension(self.gm, new, noise, self.seed_value)
+
+    def do_gm_to_ex(self) -> None:
+        self.ex_state, self.ex = self.gm.state, conversion.exact_from_sampling(self.spark, self.gm)
+
+    def do_gm_to_su(self) -> None:
+        self.su = conversion.simple_from_sampling(self.spark, self.gm)
+
+    def do_gm_hamiltonian(self, name: str, *args: Any, **kwargs: Any) -> None:
+        self.gm.state.terms = models.find(name)(*args, **kwargs).terms
+
+    def do_gm_dump(self, path: str) -> None:
+        conversion.simple_from_sampling(self.spark, self.gm).sites.write.mode("overwrite").parquet(path)
+
+    def do_gm_load(self, path: str) -> None:
+        self.gm = conversion.sampling_from_simple(SimpleUpdate(self.gm.state, self.spark.read.parquet(path)), self.gm.cut)

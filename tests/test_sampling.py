@@ -71,3 +71,27 @@ def test_energies_and_gradients(spark):
     found = [e for e, _ in lattice.descend(spark, 3, 0.1, "ergodic", 2, relative=True)]
     assert found[-1] < found[0]
     assert lattice.natural_gradient(lattice.observe(spark, "ergodic", 2, 0), 3).shape == g.shape
+
+
+def test_conversions_and_measurements(spark):
+    from loomframe.operators import conversion, exact
+    from loomframe.plans import plugins
+    from loomframe.plans.shell import Shell
+
+    state = models.heisenberg(2, 2)
+    lattice = SamplingLattice.create(state, 2, cut=64, seed=5)
+    v = vector(lattice)
+    t = conversion.exact_from_sampling(spark, lattice)
+    assert np.allclose([r["re"] for r in t.df.orderBy(*t.keys).collect()], v.ravel())
+    back = conversion.sampling_from_simple(conversion.simple_from_sampling(spark, lattice), 64)
+    assert np.allclose(vector(back), v)
+    pairs = conversion.squash(lattice)
+    assert np.allclose(np.abs(vector(conversion.unsquash(pairs, lattice, 64))), np.abs(v))
+    rows = lattice.observe(spark, "ergodic", 2, 0, deltas=False)
+    found = {r["term"]: r["expect"] for r in plugins.measure(spark, lattice, rows, "bond_energy").collect()}
+    assert len(found) == 5 and found["whole"] / 4 == pytest.approx(exact.inner(t, state.apply(spark, t)) / exact.inner(t, t) / 4)
+    keep = v.copy()
+    conversion.expand_dimension(lattice, 3, 0.0)
+    assert lattice.tensors[0, 0].shape == (1, 1, 3, 3, 2) and np.allclose(vector(lattice), keep)
+    out = Shell(spark).run("seed 2\ngm_create heisenberg 1 2 D=2\ngm_conf_create neel\ngm_run 4 2 0.1 sampling=ergodic restrict=balanced relative=True\ngm_to_ex\nex_energy")
+    assert len(out[3]) == 2 and out[5] < 0.1

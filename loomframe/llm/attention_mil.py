@@ -24,8 +24,8 @@ from .common import STEP_BYTES, byte_view, lowered, mixed, pieces_of, within, wo
 
 _U = np.uint64
 PASSAGE = 64
-SAMPLE, SAMPLE_PASSAGES = 6_000, 64
-HIDDEN, GATES, ROUNDS, RATE, DECAY = 32, 16, 400, 0.02, 1e-4
+SAMPLE, SAMPLE_PASSAGES = 4_000, 12
+HIDDEN, GATES, ROUNDS, RATE, DECAY = 24, 12, 150, 0.03, 1e-4
 
 _CLASSES = ["#*$%&<>@^~", "|", "!", ".", ",", "?;:", "0123456789", "\n", "\"'()[]{}", "/\\=+_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _CLASS = np.zeros((len(_CLASSES) + 1, 256), bool)

@@ -25,6 +25,9 @@ from .common import stored
 BLANKS = ("\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
 ROUNDS = 40
+#: Chance of a vote against a good document, share of good documents, and the weight of these beliefs as a share of all
+#: documents.
+WRONG, GOOD, BELIEF = 0.01, 0.8, 0.5
 
 
 def without(text: Column, marks: str) -> Column:
@@ -110,33 +113,35 @@ def rules() -> dict[str, Column]:
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
-    """Posterior of each pattern after expectation-maximisation; begins from votes that are right four times of five.
+    """Posterior of each pattern after expectation-maximisation.
 
-    For each rule and class the model has the chance of each vote, abstention included, smoothed by one pseudo-count.
+    It begins where all-must-pass filtering ends: a pattern with a vote against is bad with probability 0.95, any other
+    good. For each rule and class the model has the chance that a vote is right; abstaining says nothing. Where one rule
+    alone parts the documents, counts can't tell which class it errs in, so beliefs are added to them: a rule is seldom
+    wrong about good documents (`WRONG`), and most are good (`GOOD`), with the weight of `BELIEF` times all documents. So a rule that praises every document weighs nothing, and one that is alone with its votes against loses
+    its weight unless they part the documents well.
     """
     if not counts:
         return {}
     votes = range(len(counts[0][0]))
-    prior = 0.8
-    likely = [{1: {1: 0.6, 0: 0.25, -1: 0.15}, 0: {1: 0.15, 0: 0.25, -1: 0.6}} for _ in votes]
-    posterior: dict[tuple[int, ...], float] = {}
+    posterior = {p: 0.05 if -1 in p else 0.95 for p, _ in counts}
+    total = sum(n for _, n in counts)
     for _ in range(rounds):
-        for pattern, _ in counts:
+        prior = (sum(n * posterior[p] for p, n in counts) + GOOD * BELIEF * total + 1) / ((1 + BELIEF) * total + 2)
+        likely = []
+        for j in votes:
+            own = {1: {-1: 1 + WRONG * BELIEF * total, 1: 1 + (1 - WRONG) * BELIEF * total}, 0: {-1: 1.0, 1: 1.0}}
+            for p, n in counts:
+                if p[j]:
+                    own[1][p[j]] += n * posterior[p]
+                    own[0][p[j]] += n * (1 - posterior[p])
+            likely.append({c: {v: x / sum(own[c].values()) for v, x in own[c].items()} | {0: 1.0} for c in (0, 1)})
+        for p, _ in counts:
             good, bad = math.log(prior), math.log(1 - prior)
             for j in votes:
-                good += math.log(likely[j][1][pattern[j]])
-                bad += math.log(likely[j][0][pattern[j]])
-            posterior[pattern] = 1 / (1 + math.exp(min(700.0, max(-700.0, bad - good))))
-        total = sum(n for _, n in counts)
-        mass = sum(n * posterior[p] for p, n in counts)
-        prior = (mass + 1) / (total + 2)
-        for j in votes:
-            for c in (0, 1):
-                own = {v: 1.0 for v in (-1, 0, 1)}
-                for p, n in counts:
-                    own[p[j]] += n * (posterior[p] if c else 1 - posterior[p])
-                whole = sum(own.values())
-                likely[j][c] = {v: x / whole for v, x in own.items()}
+                good += math.log(likely[j][1][p[j]])
+                bad += math.log(likely[j][0][p[j]])
+            posterior[p] = 1 / (1 + math.exp(min(700.0, max(-700.0, bad - good))))
     return posterior
 
 
@@ -151,11 +156,12 @@ def judge_quality(docs: DataFrame, key: str = "doc_id", threshold: float = 0.5,
     # One number stands for a pattern, so that counts and posteriors are keyed by a long.
     code = sum(((F.col(n) + 1).cast("long") * 3**i for i, n in enumerate(names)), F.lit(0).cast("long"))
     voted = stored(measures(docs, key).withColumns(dict(zip(names, own.values()))).withColumn("pattern", code), "quality-rules")
-    counted = voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()  # at most 3 ** rules rows
+    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # Documents that fail the base test are decided already, so the estimate counts the others alone.
+    counted = voted.groupBy("pattern").agg(F.count(F.when(~failed, 1)).alias("n")).collect()  # at most 3 ** rules rows
     posterior = estimate([(tuple(r["pattern"] // 3**i % 3 - 1 for i in range(len(names))), r["n"]) for r in sorted(counted, key=lambda r: r["pattern"])])
     rows = json.dumps([{"pattern": sum((v + 1) * 3**i for i, v in enumerate(p)), "quality": q} for p, q in posterior.items()])
     table = docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(rows), "array<struct<pattern:bigint,quality:double>>")))
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     scored = voted.join(F.broadcast(table), "pattern", "left").withColumn("base_failed", failed)
     kept = ~F.col("base_failed") & (F.coalesce("quality", F.lit(0.0)) >= threshold)
     return scored.select(key, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "quality", *names)

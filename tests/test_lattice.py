@@ -152,3 +152,12 @@ def test_fermion_terms(spark):
     assert np.allclose(np.linalg.eigvalsh(state.matrix()), [-1, 0, 0, 1])
     with pytest.raises(ValueError):
         state_from_terms(spark.createDataFrame([([0], [True], 1.0)], terms.schema), 1, 2)
+
+
+def test_parameters(spark, tmp_path):
+    from loomframe.sources.parameters import parse_parameters, read_parameters
+
+    body = "****\n****length_and_type           2           real*8\n****Below\nt   -1\nU  12\n****length_and_type  1 integer\n  L1   4\n  dims 2 3\n"
+    assert parse_parameters(body) == {"t": -1.0, "U": 12.0, "L1": 4, "dims": [2, 3]}
+    (tmp_path / "p.dat").write_text(body)
+    assert {r["name"]: r["value"] for r in read_parameters(spark, str(tmp_path)).collect()} == {"t": "-1.0", "U": "12.0", "L1": "4", "dims": "[2, 3]"}

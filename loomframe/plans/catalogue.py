@@ -327,11 +327,11 @@ def conjugate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(t.df, re=2, im=2)
 
 
-@query("select event_type g,time_bucket(interval '1 day', ts) w,round(sum(value*value)/sum(value),6) expect from events where value>0 group by 1,2")
+@query("select event_type g,strftime(time_bucket(interval '1 day', ts),'%Y-%m-%d') w,round(sum(value*value)/sum(value),6) expect from events where value>0 group by 1,2")
 def windowed_observer(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.observer import windowed
 
     events = read(spark, sf_dir, "events").filter("value > 0").withColumn("g", F.col("event_type"))
-    return windowed(events, "ts", "1 day", ["g"], F.col("value"), F.col("value")).select("g", F.col("window.start").alias("w"), F.round("expect", 6).alias("expect"))
+    return windowed(events, "ts", "1 day", ["g"], F.col("value"), F.col("value")).select("g", F.date_format("window.start", "yyyy-MM-dd").alias("w"), F.round("expect", 6).alias("expect"))
 
 

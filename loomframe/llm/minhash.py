@@ -6,10 +6,11 @@ probability their similarity. A band joins both values of two permutations; two
 40 bands with probability 7e-10. Documents of one set form a class, of which the smallest id stands for all.
 
 Candidates are confirmed on full sets. A band's bucket first yields only the pairs with its smallest member, which link
-groups of copies in time linear in their size. Then components are formed, and in buckets that still hold several of them
-each member outside the smallest member's component is compared with all members in other components: first by their
-sketches of one byte a value (two sets of similarity 0.8 agree in fewer than `SKETCH` of 160 with probability below
-1e-9), then on full sets. So every bucket pair is linked already, or compared; none is dropped or capped.
+groups of copies in time linear in their size. Components whose buckets still touch form a cluster. Inside a cluster the
+members outside its largest component are the queries: in blocks of bounded size they are compared with all members of
+other components, first by their sketches of one byte a value (two sets of similarity 0.8 agree in fewer than `SKETCH`
+of 160 with probability below 1e-8), then on full sets, and one link for each query and component comes out. So every
+bucket pair is linked already, or compared; none is dropped or capped, and pairs are never written out.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; with fewer words than a shingle the whole
 sequence is one shingle; null ids count as smallest; repeated rows are copies of each other; other columns aren't read.
@@ -30,9 +31,9 @@ from .components import components
 _U = np.uint64
 NO_ID = -(1 << 63)
 PERMUTATIONS, BANDS = 80, 40
-SKETCH = 92
-#: Members of a bucket in one block of sketch comparisons.
-BLOCK = 1024
+SKETCH = 98
+#: Documents, and shingles, in one block of comparisons inside a cluster.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 17
 #: Shingles in one vectorised step.
 STEP = 1 << 17
 _RANDOM = np.random.default_rng(6)
@@ -134,26 +135,55 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def sketch_pairs(tasks: DataFrame) -> DataFrame:
-    """Pairs in different components, one of them a query, whose sketches agree enough; tasks are (bucket, block, id,
-    label, n, query, sketch), a query being in all blocks of its bucket."""
+def cluster_links(tasks: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (label, label) between components; tasks are (cluster, data_block, query_block, label, n, query,
+    sketch, shingles)."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, labels, n = (table.column(c).to_numpy() for c in ("id", "label", "n"))
+        labels, n = (table.column(c).to_numpy() for c in ("label", "n"))
         query = table.column("query").to_numpy(zero_copy_only=False)
-        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(ids), -1)
+        marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(n), -1)
+        every, dense = np.unique(np.frombuffer(b"".join(table.column("shingles").to_pylist()), _U), return_inverse=True)
+        at = np.cumsum(n) - n
         data = np.flatnonzero(~query)
-        a, b = [], []
+        held = np.zeros(len(every), bool)
+        found: set[tuple[int, int]] = set()
         for q in np.flatnonzero(query).tolist():
-            near = data[(labels[data] != labels[q]) & (5 * np.minimum(n[data], n[q]) >= 4 * np.maximum(n[data], n[q]))]
+            near = data[(labels[data] != labels[q]) & (100 * np.minimum(n[data], n[q]) >= percent * np.maximum(n[data], n[q]))]
             near = near[(marks[near] == marks[q]).sum(axis=1) >= SKETCH]
-            a += [int(ids[q])] * len(near)
-            b += ids[near].tolist()
-        x, y = np.array(a, np.int64), np.array(b, np.int64)
-        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return tasks.groupBy("bucket", "block").applyInArrow(run, "a long, b long")
+            if not len(near):
+                continue
+            own = dense[at[q] : at[q] + n[q]]
+            held[own] = True
+            size = n[near]
+            first = np.cumsum(size) - size
+            both = np.add.reduceat(held[dense[np.arange(size.sum()) + np.repeat(at[near] - first, size)]].astype(np.int64), first)
+            held[own] = False
+            good = near[100 * both >= percent * (size + n[q] - both)]
+            found.update((min(int(labels[q]), x), max(int(labels[q]), x)) for x in np.unique(labels[good]).tolist())
+        pairs = sorted(found)
+        return pa.table({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([y for _, y in pairs], pa.int64())})
+
+    return tasks.groupBy("cluster", "data_block", "query_block").applyInArrow(run, "a long, b long")
+
+
+def cluster_tasks(placed: DataFrame, contents: DataFrame) -> DataFrame:
+    """Blocks of data and queries of each cluster; placed is (id, n, label, cluster)."""
+    parts = placed.groupBy("cluster", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("n"))
+    home = F.max(F.struct("rows", -F.col("label"), "n"))
+    sizes = parts.groupBy("cluster").agg(F.sum("rows").alias("rows"), F.sum("n").alias("all_n"), home.alias("home"))
+    count = lambda rows, n: F.greatest(F.ceil(rows / BLOCK), F.ceil(n / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    sizes = sizes.select(
+        "cluster", (-F.col("home")["col2"]).alias("home"), count(F.col("rows"), F.col("all_n")).alias("data_blocks"),
+        count(F.col("rows") - F.col("home")["rows"], F.col("all_n") - F.col("home")["n"]).alias("query_blocks"),
+    )
+    rows = placed.join(sizes, "cluster")
+    dealt = lambda seed, blocks: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(blocks)).cast("int")
+    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    data = rows.select("cluster", dealt(1, "data_blocks").alias("data_block"), every("query_blocks").alias("query_block"), "id", "label", "n", F.lit(False).alias("query"))
+    asked = rows.filter(F.col("label") != F.col("home")).select("cluster", every("data_blocks").alias("data_block"), dealt(2, "query_blocks").alias("query_block"), "id", "label", "n", F.lit(True).alias("query"))
+    return data.unionAll(asked).join(contents, "id")
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
@@ -179,21 +209,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, key: str
     sets = stored(full_sets(rows.join(wanted, "id", "left_semi"), size).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
     links = stored(confirmed(pairs, sets, percent), "links")
     labels = components(links)
-    labelled = members.join(labels, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    firsts = labels.select(F.col("id").alias("first"), F.col("label").alias("first_label"))
-    labelled = labelled.join(firsts, "first", "left").withColumn("query", F.col("label") != F.coalesce("first_label", "first"))
-    labelled = stored(labelled.select("bucket", "id", "n", "label", "members", "query"), "labelled")
-    open_buckets = labelled.filter("query").select("bucket").distinct()
-    left = labelled.join(open_buckets, "bucket", "left_semi")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    data = left.select("bucket", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("block"), "id", "label", "n", F.lit(False).alias("query"))
-    asked = left.filter("query").select("bucket", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), "id", "label", "n", F.lit(True).alias("query"))
-    tasks = data.unionAll(asked).join(heads.select("id", "sketch"), "id")
-    more = stored(sketch_pairs(tasks).distinct(), "pairs")
-    further = confirmed(more, sets, percent)
-    if more.limit(1).count():
-        links = stored(links.unionAll(further), "links")
-        labels = components(links)
+    # Components that share a bucket without a confirmed link between them.
+    known = labels.select(F.col("id").alias("first"), F.col("label").alias("first_label"))
+    touching = members.select("first", "id").distinct().join(labels, "id", "left").join(known, "first", "left")
+    touching = touching.select(F.coalesce("first_label", "first").alias("a"), F.coalesce("label", "id").alias("b")).filter("a <> b").distinct()
+    touching = stored(touching, "touching")
+    if touching.limit(1).count():
+        clusters = components(touching).select(F.col("id").alias("label"), F.col("label").alias("cluster"))
+        placed = members.select("id", "n").distinct().join(labels, "id", "left").withColumn("label", F.coalesce("label", "id")).join(clusters, "label")
+        contents = sets.join(heads.select("id", "sketch"), "id")
+        further = stored(cluster_links(cluster_tasks(stored(placed.select("id", "n", "label", "cluster"), "placed"), contents), percent).distinct(), "links")
+        joined = components(further).select(F.col("id").alias("label"), F.col("label").alias("whole"))
+        both = labels.unionAll(further.select(F.col("a").alias("id"), F.col("a").alias("label"))).unionAll(further.select("b", "b")).groupBy("id").agg(F.min("label").alias("label"))
+        labels = both.join(joined, "label", "left").select("id", F.coalesce("whole", "label").alias("label"))
     owner = classes.join(labels, "id", "left").select(*same, F.coalesce("label", "id").alias("component"))
     out = signed.select("id", *same).join(owner, same, "left").withColumn("component", F.coalesce("component", "id"))
 

@@ -168,7 +168,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text", STEP_BYTES // 8):
+            for part in pieces_of(batch, "text", STEP_BYTES):
                 n = part.num_rows
                 own = model.score(*passages(*byte_view(part.column("text")))) if model is not None and n else np.full(n, 0.5)
                 yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(own, pa.float64())], names=["row", "_score"])

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: ASCII white space; everything else is part of a word.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Bytes of text that one vectorised step works on, which bounds a Python worker's memory.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 
 _U = np.uint64
 _MASK = (1 << 64) - 1

@@ -196,7 +196,7 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFram
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces_of(batch, "text"):
+            for part in pieces_of(batch, "text", BLOCK_BYTES):
                 out = []
                 for source, make, deal in ((0, grams, gram_bucket), (1, words, word_bucket)):
                     keys, n = counted(*(lambda k: (k, np.ones(len(k), bool)))(make(*byte_view(part.column("text")))[0]))

@@ -33,8 +33,8 @@ from .common import pieces_of
 SEQUENCE = 4096
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
-#: Chunks that a worker remembers.
-MEMORY = 700_000
+#: Chunks that a worker remembers during a task.
+MEMORY = 400_000
 #: Documents in a packing group, on average: a 24th of all, within these bounds. A group's last open sequences are the only
 #: waste that grouping adds (measured: 0.3 % at 3,000).
 GROUP = (3_000, 50_000)
@@ -80,7 +80,7 @@ class Chunks(dict):
 
 @functools.cache
 def chunk_memory(path: str | None) -> Chunks:
-    """One for each worker process, which outlives tasks."""
+    """One for each worker process, as the vocabulary takes time to load."""
     return Chunks(path)
 
 
@@ -95,6 +95,10 @@ class Tokens:
     def __init__(self, path: str | None = None):
         self.chunks = chunk_memory(path)
 
+    def forget(self) -> None:
+        self.chunks.clear()
+        self.chunks.parts.clear()
+
     def of(self, texts: list[str]) -> list[bytes]:
         known = self.chunks
         if len(known) > MEMORY:
@@ -113,22 +117,25 @@ def token_pieces(docs: DataFrame, key: str = "doc_id", sequence: int = SEQUENCE,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = Tokens(vocabulary), np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for part in pieces_of(batch, "text", 2 << 20):
-                row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(tokens.of(part.column("text").to_pylist())):
-                    ids += end
-                    for p, at in enumerate(range(0, len(ids), 4 * sequence)):
-                        own = ids[at : at + 4 * sequence]
-                        row.append(i)
-                        piece.append(p)
-                        start.append(at // 4)
-                        length.append(len(own) // 4)
-                        crc.append(zlib.crc32(own))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("key").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
-                    names=["key", "piece", "start", "length", "ids_crc32"],
-                )
+        try:
+            for batch in batches:
+                for part in pieces_of(batch, "text", 2 << 20):
+                    row, piece, start, length, crc = [], [], [], [], []
+                    for i, ids in enumerate(tokens.of(part.column("text").to_pylist())):
+                        ids += end
+                        for p, at in enumerate(range(0, len(ids), 4 * sequence)):
+                            own = ids[at : at + 4 * sequence]
+                            row.append(i)
+                            piece.append(p)
+                            start.append(at // 4)
+                            length.append(len(own) // 4)
+                            crc.append(zlib.crc32(own))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("key").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
+                        names=["key", "piece", "start", "length", "ids_crc32"],
+                    )
+        finally:  # the worker may go on to other work
+            tokens.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col("text"), F.lit("")).alias("text"))

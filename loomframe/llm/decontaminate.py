@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become template tokens: words of lower-cased letters, with runs of numbers, of names (a capital inside a sentence)
-and units of measure after a number replaced by one typed placeholder each. Windows of `WINDOW` template tokens of the
+and units of measure after a number replaced by one typed placeholder each. Capitals don't mark names where a sentence is
+written in them (upper case, title case), nor does their lack prove a word no name, so windows with names also exist in a
+literal form, all words folded; two literal forms meet only if one of them stands in such a sentence. Windows of `WINDOW` template tokens of the
 benchmark and of the documents are joined by hash. Matches of one document and item on one diagonal form an alignment, and
 its slots are checked: one slot value of the item must always stand for one value in the document, so that a question
 whose numbers or names were exchanged is caught, and a chance template is not. A document is contaminated if consistent
@@ -42,11 +44,13 @@ _STOP[[ord(c) for c in ".!?:\n"]] = True
 
 
 def _folded(data: np.ndarray) -> np.ndarray:
-    """A-Z and the capitals of Latin-1 in UTF-8 (0xC3 0x80-0x9E) to small letters."""
+    """A-Z and the capitals of Latin-1 in UTF-8 (0xC3 0x80-0x9E) to small letters, and sharp s to ss, as upper case has it."""
     out = data.copy()
     out[(data >= 0x41) & (data <= 0x5A)] += 32
     if len(data) > 1:
         out[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
+        sharp = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] == 0x9F))
+        out[sharp] = out[sharp + 1] = 0x73
     return out
 
 
@@ -57,9 +61,10 @@ def _unit_hashes() -> np.ndarray:
     return np.sort(word_hashes(data, ends - [len(t) for t in texts], ends))
 
 
-def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Codes, slot values (hashes of what a placeholder replaced, 0 for literals), number of words before each token, and
-    offsets by text."""
+def template(data: np.ndarray, offsets: np.ndarray) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """The typed and the literal form of the texts, each as codes, slot values (hashes of what a placeholder replaced, 0 for
+    literals), number of words before each token, offsets by text, and marks: 1 for a name, 2 for one in a sentence that
+    has at least as many of them as words in small letters."""
     n = len(data)
     low = _folded(data)
     inside = _WORD[data]
@@ -70,7 +75,8 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     after = np.concatenate([~inside[1:] | edge[1:], [True]]) if n else np.zeros(0, bool)
     ends = np.flatnonzero(inside & after) + 1
     if not len(starts):
-        return np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+        nothing = np.zeros(0, _U), np.zeros(0, _U), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64), np.zeros(0, np.int64)
+        return nothing, nothing
     words = word_hashes(low, starts, ends)
     owner = row[starts]
     digits = np.concatenate([[0], np.cumsum((data >= 0x30) & (data <= 0x39))])
@@ -82,10 +88,19 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     previous = np.concatenate([[0], ends[:-1]])
     opening = np.concatenate([[True], owner[1:] != owner[:-1]]) | (stops[starts] > stops[previous])
     name = capital & ~opening
+    small = ~opening & (((first >= 0x61) & (first <= 0x7A)) | ((first == 0xC3) & (second >= 0x9F)))
+    sentence = np.cumsum(opening) - 1
+    loud = np.bincount(sentence, name) >= np.bincount(sentence, small)
+    mark = np.where(name, 1 + loud[sentence], 0)
     units = _unit_hashes()
     is_unit = units[np.minimum(np.searchsorted(units, words), len(units) - 1)] == words
     is_unit &= np.concatenate([[False], number[:-1] & (owner[1:] == owner[:-1])])
-    code = np.where(number, NUMBER, np.where(is_unit, UNIT, np.where(name, NAME, words | _U(8))))
+    plain = np.where(number, NUMBER, np.where(is_unit, UNIT, words | _U(8)))
+    return tuple(_tokens(code, words, owner, mark, len(offsets)) for code in (np.where(name & (plain >= _U(8)), NAME, plain), plain))
+
+
+def _tokens(code: np.ndarray, words: np.ndarray, owner: np.ndarray, mark: np.ndarray, rows: int) -> tuple[np.ndarray, ...]:
+    """Runs of one placeholder joined."""
     slot = code < _U(8)
     joined = np.concatenate([[False], slot[1:] & (code[1:] == code[:-1]) & (owner[1:] == owner[:-1])])
     head = np.flatnonzero(~joined)
@@ -93,8 +108,7 @@ def template(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     value = np.zeros(len(head), _U)
     np.add.at(value, group, words * (_U(2) * (np.arange(len(words)) - head[group]).astype(_U) + _U(1)))
     value[~slot[head]] = 0
-    own = np.searchsorted(owner[head], np.arange(len(offsets)))
-    return code[head], value, head, own
+    return code[head], value, head, np.searchsorted(owner[head], np.arange(rows)), np.where(code[head] >= _U(8), mark[head], 0)
 
 
 def windows(code: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,12 +124,22 @@ def windows(code: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, n
     return at, h[at]
 
 
-def window_rows(keys: pa.Array, code: np.ndarray, value: np.ndarray, own: np.ndarray, at: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+def marked(mark: np.ndarray, at: np.ndarray, size: np.ndarray | int, least: int) -> np.ndarray:
+    """Whether windows hold a token with at least that mark."""
+    sums = np.concatenate([[0], np.cumsum(mark >= least)])
+    return sums[at + size] > sums[at]
+
+
+def window_rows(keys: pa.Array, form: tuple[np.ndarray, ...], literal: bool, at: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
+    _, value, head, own, mark = form
     row = np.searchsorted(own, at, "right") - 1
     slots = []
     for a, n in zip(at.tolist(), size.tolist()):
         slots.append(value[a : a + n].view(np.int64).tolist())
-    return pa.RecordBatch.from_arrays([keys.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at - own[row]), pa.array(slots, pa.list_(pa.int64()))], names=["key", "h", "at", "slots"])
+    quiet = ~marked(mark, at, size, 2) & literal
+    place = head[at] - head[own[row]] if len(at) else at
+    cols = [keys.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at - own[row]), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(at), literal)), pa.array(quiet), pa.array(place)]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "h", "at", "slots", "literal", "quiet", "place"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
@@ -125,20 +149,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
 
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
-            code, value, _, own = template(data, offsets)
-            sizes = np.diff(own)
-            at, h = windows(code, own, WINDOW)
-            size = np.full(len(at), WINDOW)
-            short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
-            for n in np.unique(sizes[short]).tolist():
-                a, g = windows(code, own, n)
-                use = np.isin(a, own[short])
-                at, h, size = np.concatenate([at, a[use]]), np.concatenate([h, g[use]]), np.concatenate([size, np.full(int(use.sum()), n)])
-            rows = window_rows(part.column("key"), code, value, own, at, h, size)
-            yield rows.append_column("size", pa.array(size))
+            for literal, form in enumerate(template(data, offsets)):
+                code, _, _, own, mark = form
+                sizes = np.diff(own)
+                at, h = windows(code, own, WINDOW)
+                size = np.full(len(at), WINDOW)
+                short = np.flatnonzero((sizes > 0) & (sizes < WINDOW))
+                for n in np.unique(sizes[short]).tolist():
+                    a, g = windows(code, own, n)
+                    use = np.isin(a, own[short])
+                    at, h, size = np.concatenate([at, a[use]]), np.concatenate([h, g[use]]), np.concatenate([size, np.full(int(use.sum()), n)])
+                if literal:
+                    use = marked(mark, at, size, 1)
+                    at, h, size = at[use], h[use], size[use]
+                yield window_rows(part.column("key"), form, bool(literal), at, h, size).append_column("size", pa.array(size))
 
     items = benchmark.select(F.col(item).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = items.mapInArrow(of_items, f"key {item_kind}, h long, at long, slots array<long>, size long").withColumnsRenamed({"key": "item", "at": "q", "slots": "item_slots"}).persist()
+    wanted = items.mapInArrow(of_items, f"key {item_kind}, h long, at long, slots array<long>, literal boolean, quiet boolean, place long, size long")
+    wanted = wanted.withColumnsRenamed({"key": "item", "at": "q", "slots": "item_slots", "literal": "item_literal", "quiet": "item_quiet"}).persist()
     word = F.shiftright(F.col("h").bitwiseAND(F.lit(BITS - 1)), 6)
     bits = wanted.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()  # at most BITS / 64 rows
     sizes = sorted({r["size"] for r in wanted.select("size").distinct().collect()})  # at most WINDOW rows
@@ -151,30 +179,37 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
         marks = shared.value
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 20):
-                code, value, _, own = template(*byte_view(part.column("text")))
-                for n in sizes:
-                    at, h = windows(code, own, n)
-                    low = (h & _U(BITS - 1)).astype(np.int64)
-                    hit = (marks[low >> 6] >> (low & 63)) & 1 > 0
-                    if hit.any():
-                        rows = window_rows(part.column("key"), code, value, own, at[hit], h[hit], np.full(int(hit.sum()), n))
-                        yield rows.append_column("row", part.column("row").take(pa.array(np.searchsorted(own, at[hit], "right") - 1)))
+                for literal, form in enumerate(template(*byte_view(part.column("text")))):
+                    code, _, _, own, mark = form
+                    for n in sizes:
+                        at, h = windows(code, own, n)
+                        low = (h & _U(BITS - 1)).astype(np.int64)
+                        hit = (marks[low >> 6] >> (low & 63)) & 1 > 0
+                        if literal:
+                            hit &= marked(mark, at, n, 1)
+                        if hit.any():
+                            rows = window_rows(part.column("key"), form, bool(literal), at[hit], h[hit], np.full(int(hit.sum()), n)).drop_columns(["place"])
+                            yield rows.append_column("row", part.column("row").take(pa.array(np.searchsorted(own, at[hit], "right") - 1)))
 
     texts = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    seen = texts.mapInArrow(of_docs, f"key {key_kind}, h long, at long, slots array<long>, row long")
+    seen = texts.mapInArrow(of_docs, f"key {key_kind}, h long, at long, slots array<long>, literal boolean, quiet boolean, row long")
     # A document's windows with one hash, and an item's, meet on one diagonal each; alignments are bounded by items.
     slots = F.transform(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda p, i: F.struct((F.col("q") + i).alias("at"), p["x"].alias("x"), p["y"].alias("y")))
-    met = seen.join(wanted, "h").withColumn("pairs", F.filter(slots, lambda p: p["x"] != 0))
-    diagonal = met.groupBy("key", "row", "item", (F.col("at") - F.col("q")).alias("diagonal")).agg(
-        F.collect_set("q").alias("q"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("q").alias("low"), F.max(F.col("q") + F.col("size") - 1).alias("high")
+    met = seen.join(wanted, "h").filter(~(F.col("quiet") & F.col("item_quiet"))).withColumn("pairs", F.filter(slots, lambda p: p["x"] != 0))
+    diagonal = met.groupBy("key", "row", "item", "literal", "item_literal", (F.col("at") - F.col("q")).alias("diagonal")).agg(
+        F.collect_set("place").alias("place"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("q").alias("low"), F.max(F.col("q") + F.col("size") - 1).alias("high")
     )
     # A name at an end of the alignment may have run together with a word outside of it, so it proves nothing.
     inner = F.filter("pairs", lambda p: (p["at"] > F.col("low")) & (p["at"] < F.col("high")))
     pairs = F.array_distinct(F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
-    whole = wanted.groupBy("item").agg(F.countDistinct("q").alias("whole"))
-    found = diagonal.filter(consistent).select("key", "row", "item", F.explode("q").alias("q")).groupBy("key", "row", "item").agg(F.countDistinct("q").alias("held"))
-    cover = found.join(whole, "item").withColumn("coverage", F.col("held") / F.col("whole")).filter(F.col("coverage") >= COVERAGE)
+    # Coverage of the typed form's windows, or of all places at which a window of any form starts.
+    typed = F.when(~F.col("item_literal"), F.col("place"))
+    whole = wanted.groupBy("item").agg(F.countDistinct(typed).alias("typed"), F.countDistinct("place").alias("places"))
+    held = diagonal.filter(consistent).select("key", "row", "item", "literal", "item_literal", F.explode("place").alias("place"))
+    found = held.groupBy("key", "row", "item").agg(F.countDistinct(F.when(~F.col("literal"), typed)).alias("held_typed"), F.countDistinct("place").alias("held"))
+    share = F.greatest(F.try_divide("held_typed", "typed"), F.col("held") / F.col("places"))
+    cover = found.join(whole, "item").withColumn("coverage", share).filter(F.col("coverage") >= COVERAGE)
     out = cover.groupBy("key", "row").agg(F.max("coverage").alias("coverage"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("item").cast("string")))).alias("items"))
     return out.select(F.col("key").alias(key), "row", F.lit(True).alias("contaminated"), "coverage", "items")
 

@@ -344,3 +344,13 @@ def test_attention_gradient():
         m.w[i][at] = keep
         assert g[at] == pytest.approx((up - down) / 2e-5, abs=1e-6)
 
+
+
+def test_decontamination_of_other_cases(spark):
+    items = [(1, prose(20, 80)), (2, "Then Anna Lee buys 12 apples and sells 5 km of rope to Bob who asks how many apples she now has left")]
+    texts = [(10 * i + k, f"{prose(30, 90 + i)}. {f(t)}. {prose(30, 95 + i)}") for i, t in items for k, f in enumerate((str.upper, str.title, str.lower, str))]
+    minor = " ".join(w if w in ("and", "of", "to") else w[0].upper() + w[1:] for w in items[1][1].split())
+    df = spark.createDataFrame([*texts, (30, minor), (40, prose(60, 99).upper()), (41, prose(60, 99).title())], "doc_id long, text string")
+    for benchmark in (items, [(i, t.upper()) for i, t in items]):
+        got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(df, spark.createDataFrame(benchmark, "item_id long, text string")).collect()}
+        assert got == {d: str(d // 10) for d, _ in texts} | {30: "2"}

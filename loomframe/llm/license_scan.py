@@ -46,7 +46,7 @@ FAMILIES = (
     ("bsd-3-clause", "bsd", r"(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)"),
     ("bsd-4-clause", "bsd", r"(?:bsd 4 clause|4 clause bsd|original bsd)"),
     ("bsd", "bsd", r"(?:berkeley )?bsd"),
-    ("0bsd", "0bsd", r"(?:zero clause bsd|0bsd)"),
+    ("0bsd", "bsd", r"(?:zero clause bsd|0bsd)"),
     ("mpl", "mozilla", r"mozilla public"),
     ("mpl", "mpl", r"mpl"),
     ("epl", "eclipse", r"eclipse public"),
@@ -83,6 +83,7 @@ FAMILIES = (
 FORMS = (
     ("identifier", r"spdx license identifier {name}(?: \d+)*(?: only| or later)?", 9, 0.99),
     ("grant", r"(?:licensed|released|distributed|available|published|provided|redistributed|covered) (?:under|by|with)(?: the)?(?: terms of)?(?: the)? {name}(?: license| licence)(?: version)?(?: v?\d+)*", 8, 0.97),
+    ("terms", r"(?:licensed|released|distributed|available|published|provided|redistributed|covered) under(?: the| an?)?(?: terms of)?(?: the| an?)? {name}(?: version)?(?: v?\d+)*", 8, 0.9),
     ("text", r"permission is hereby granted (?:\S+ ){{0,12}}under the {name} licen[sc]e", 8, 0.97),
     ("file", r"see (?:the )?(?:accompanying )?(?:file )?licen[sc]e (?:for |with )?(?:the )?{name}(?: licen[sc]e)?", 6, 0.8),
     ("versioned", r"{name} licen[sc]e(?: version)? v?\d+(?: \d+)*(?: only| or later| or any later version)?", 7, 0.95),
@@ -102,7 +103,7 @@ SINGLE = (
 )
 
 #: Every signature needs one of these.
-STEMS = (b"licen", b"copyright", b"public domain", b"all rights", b"unlicense")
+STEMS = (b"licen", b"copyright", b"public domain", b"all rights", b"ed under ", b"available under ")
 
 
 @dataclass(frozen=True)

@@ -354,3 +354,44 @@ def test_decontamination_of_other_cases(spark):
     for benchmark in (items, [(i, t.upper()) for i, t in items]):
         got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(df, spark.createDataFrame(benchmark, "item_id long, text string")).collect()}
         assert got == {d: str(d // 10) for d, _ in texts} | {30: "2"}
+
+
+def examples(pattern, rng, n=40):
+    """Random strings that a regular expression matches."""
+    parse = re._parser.parse(pattern)
+
+    def one(items):
+        out = []
+        for op, arg in items:
+            kind = str(op)
+            if kind == "LITERAL":
+                out.append(chr(arg))
+            elif kind == "BRANCH":
+                out.append(one(arg[1][rng.integers(len(arg[1]))]))
+            elif kind == "SUBPATTERN":
+                out.append(one(arg[3]))
+            elif kind == "MAX_REPEAT":
+                out += [one(arg[2]) for _ in range(rng.integers(arg[0], min(int(arg[1]), arg[0] + 2) + 1))]
+            elif kind == "IN":
+                c = next((c for c in "2xs" if re.fullmatch(pattern_of(arg), c)), "c")
+                out.append(c)
+            else:
+                assert kind == "AT", kind
+        return "".join(out)
+
+    def pattern_of(arg):
+        return "|".join({"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_SPACE": r"\S"}[str(a)] if str(o) == "CATEGORY" else re.escape(chr(a)) if str(o) == "LITERAL" else f"[{chr(a[0])}-{chr(a[1])}]" for o, a in arg)
+
+    return {one(parse) for _ in range(n)}
+
+
+def test_license_prefilters_lose_no_signature():
+    rng = np.random.default_rng(9)
+    for r in license_scan.rules():
+        for text in examples(r.pattern.pattern, rng):
+            assert r.pattern.search(text), text
+            assert r.keyword in text and any(stem in f" {text} ".encode() for stem in license_scan.STEMS), text
+            assert license_scan.scan(text.encode())[5], text
+    for text, label in (("released under the GNU GPL version 3", "gpl"), ("distributed under the terms of the MPL 2.0", "mpl"), ("available under Apache 2.0", "apache"), ("Zero Clause BSD License", "0bsd"), ("licensed under an MIT license", "mit")):
+        assert license_scan.scan(text.encode())[5] == label
+    assert license_scan.scan(b"he lived under the bridge, available with MIT people")[5] == ""

@@ -30,6 +30,17 @@ BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public l
 #: Words are runs of ASCII digits and letters and of all characters beyond ASCII.
 _CANON = bytes((b + 32 if 0x41 <= b <= 0x5A else b) if 0x30 <= b <= 0x39 or 0x41 <= b <= 0x5A or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 
+_SA, _NC, _ND = r" share ?alike", r" non ?commercial", r" no ?deriv(?:ative)?s?"
+#: Creative Commons: label, and what follows the words 'creative commons attribution' and 'cc by'.
+CC = (
+    ("cc-by", "", ""),
+    ("cc-by-sa", _SA, " sa"),
+    ("cc-by-nc", _NC, " nc"),
+    ("cc-by-nd", _ND, " nd"),
+    ("cc-by-nc-sa", f"(?:{_NC}{_SA}|{_SA}{_NC})", " (?:nc sa|sa nc)"),
+    ("cc-by-nc-nd", f"(?:{_NC}{_ND}|{_ND}{_NC})", " (?:nc nd|nd nc)"),
+)
+
 #: Label, keyword, and the forms of the name over canonical words.
 FAMILIES = (
     ("mit", "mit", r"(?:expat )?mit"),
@@ -73,10 +84,22 @@ FAMILIES = (
     ("sspl", "server side public", r"server side public"),
     ("elastic", "elastic", r"elastic"),
     ("cc0", "cc0", r"(?:creative commons )?cc0"),
-    ("cc-by", "creative commons attribution", r"creative commons attribution"),
-    ("cc-by-sa", "share", r"creative commons attribution share ?alike"),
-    ("cc-by-nc", "non", r"creative commons attribution non ?commercial"),
-    ("cc-by-nd", "no", r"creative commons attribution no ?deriv(?:ative)?s?"),
+    ("cc0", "creative commons zero", r"creative commons zero"),
+    ("epl", "epl", r"epl"),
+    ("cddl", "cddl", r"cddl"),
+    ("cpl", "cpl", r"cpl"),
+    ("eupl", "eupl", r"eupl"),
+    ("gfdl", "gfdl", r"(?:gnu )?gfdl"),
+    ("boost", "bsl", r"bsl 1 0"),
+    ("bsl", "bsl", r"bsl 1 1"),
+    ("bsl", "busl", r"busl"),
+    ("python", "psf", r"psf"),
+    ("ofl", "ofl", r"(?:sil )?ofl"),
+    ("odbl", "odbl", r"(?:odc )?odbl"),
+    ("ms-pl", "ms", r"ms (?:pl|rl)"),
+    ("sspl", "sspl", r"sspl"),
+    *((label, "creative commons attribution", f"creative commons attribution{name}") for label, name, _ in CC),
+    *((label, "cc by", f"cc by{name}") for label, _, name in CC),
 )
 
 #: Form of a signature around a family's name, its priority and its weight.
@@ -98,12 +121,14 @@ SINGLE = (
     ("proprietary", "all rights reserved", r"copyright (?:\S+ ){1,8}all rights reserved", 6, 0.8),
     ("proprietary", "all rights reserved", r"all rights reserved", 2, 0.5),
     ("copyright", "copyright", r"copyright (?:c )?(?:19|20)\d\d", 3, 0.5),
+    *((label, "cc by", rf"cc by{name}(?: version)? v?\d(?: \d)?", 4, 0.8) for label, _, name in CC),
+    ("cc0", "cc0", r"cc0(?: version)? v?\d(?: \d)?", 4, 0.8),
     ("unknown-license", "licensed under", r"licensed under (?:the )?(?:terms of )?(?:\S+ ){0,4}licen[sc]e", 1, 0.4),
     ("unknown-license", "released under", r"released under (?:the )?(?:\S+ ){0,4}licen[sc]e", 1, 0.4),
 )
 
 #: Every signature needs one of these.
-STEMS = (b"licen", b"copyright", b"public domain", b"all rights", b"ed under ", b"available under ")
+STEMS = (b"licen", b"copyright", b"public domain", b"all rights", b"ed under ", b"available under ", b"cc by", b"cc0")
 
 
 @dataclass(frozen=True)

@@ -395,3 +395,17 @@ def test_license_prefilters_lose_no_signature():
     for text, label in (("released under the GNU GPL version 3", "gpl"), ("distributed under the terms of the MPL 2.0", "mpl"), ("available under Apache 2.0", "apache"), ("Zero Clause BSD License", "0bsd"), ("licensed under an MIT license", "mit")):
         assert license_scan.scan(text.encode())[5] == label
     assert license_scan.scan(b"he lived under the bridge, available with MIT people")[5] == ""
+
+
+def test_license_short_names():
+    lines = {
+        "Licensed under CC BY-NC 4.0.": "cc-by-nc", "Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "All rights reserved.": "proprietary",
+        "This work is licensed under the GNU General Public License, version 3.": "gpl",
+    }
+    short = {
+        "CC BY 4.0": "cc-by", "Text: CC BY-SA 3.0": "cc-by-sa", "licensed under a CC BY-ND 4.0 license": "cc-by-nd", "(CC BY-NC-SA 4.0)": "cc-by-nc-sa", "released under CC-BY-NC-ND": "cc-by-nc-nd", "CC0 1.0": "cc0",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa", "SPDX-License-Identifier: CC-BY-SA-4.0": "cc-by-sa",
+        "SPDX-License-Identifier: EPL-2.0": "epl", "licensed under CDDL 1.0": "cddl", "SPDX-License-Identifier: BSL-1.0": "boost", "under the EUPL license": "eupl", "licensed under the ODbL": "odbl", "MS-PL license": "ms-pl",
+    }
+    for text, label in (lines | short).items():
+        assert license_scan.scan(text.encode())[5] == label, text

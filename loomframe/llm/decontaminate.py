@@ -4,10 +4,12 @@ Texts become template tokens: words of lower-cased letters, with runs of numbers
 and units of measure after a number replaced by one typed placeholder each. Capitals don't mark names where a sentence is
 written in them (upper case, title case), nor does their lack prove a word no name, so windows with names also exist in a
 literal form, all words folded; two literal forms meet only if one of them stands in such a sentence. Windows of `WINDOW` template tokens of the
-benchmark and of the documents are joined by hash. Matches of one document and item on one diagonal form an alignment, and
-its slots are checked: one slot value of the item must always stand for one value in the document, so that a question
-whose numbers or names were exchanged is caught, and a chance template is not. A document is contaminated if consistent
-alignments hold at least `COVERAGE` of an item's windows.
+benchmark and of the documents are joined by hash. Matches of one document and item on one diagonal form an
+alignment, and its slots are checked, so that a question whose numbers or names were exchanged is caught, and a chance
+template is not. A name of the item must stand for one name all along the alignment, or else its windows with names don't
+count. Numbers and units may fill two roles, so they must be consistent within a window only, or else that window doesn't
+count. A window without a slot always counts. A document is contaminated if the windows that count are at least `COVERAGE`
+of an item's.
 
 A document's windows first pass a bitmap of the benchmark's hashes, whose size is fixed (`BITS`) whatever the benchmark's;
 only windows that pass are joined. A window needs `LITERALS` literal tokens, so text that is all names or numbers never
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rolling, byte_view, mixed, pieces_of, text_batches, within, word_hashes
@@ -107,7 +109,7 @@ def _tokens(code: np.ndarray, words: np.ndarray, owner: np.ndarray, mark: np.nda
     group = np.cumsum(~joined) - 1
     value = np.zeros(len(head), _U)
     np.add.at(value, group, words * (_U(2) * (np.arange(len(words)) - head[group]).astype(_U) + _U(1)))
-    value[~slot[head]] = 0
+    value = np.where(slot[head], value & ~_U(3) | code[head], _U(0))  # the lowest bits tell the kind
     return code[head], value, head, np.searchsorted(owner[head], np.arange(rows)), np.where(code[head] >= _U(8), mark[head], 0)
 
 
@@ -197,16 +199,23 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
     slots = F.transform(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda p, i: F.struct((F.col("q") + i).alias("at"), p["x"].alias("x"), p["y"].alias("y")))
     met = seen.join(wanted, "h").filter(~(F.col("quiet") & F.col("item_quiet"))).withColumn("pairs", F.filter(slots, lambda p: p["x"] != 0))
     diagonal = met.groupBy("key", "row", "item", "literal", "item_literal", (F.col("at") - F.col("q")).alias("diagonal")).agg(
-        F.collect_set("place").alias("place"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.min("q").alias("low"), F.max(F.col("q") + F.col("size") - 1).alias("high")
+        F.collect_set(F.struct("place", "pairs")).alias("own"), F.min("q").alias("low"), F.max(F.col("q") + F.col("size") - 1).alias("high")
     )
-    # A name at an end of the alignment may have run together with a word outside of it, so it proves nothing.
-    inner = F.filter("pairs", lambda p: (p["at"] > F.col("low")) & (p["at"] < F.col("high")))
-    pairs = F.array_distinct(F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-    consistent = F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
+
+    def is_name(pair: Column) -> Column:
+        return pair["x"].bitwiseAND(F.lit(3)) == int(NAME)
+
+    # A slot at an end of the alignment may have run together with a word outside of it, so it proves nothing.
+    def agree(pairs: Column, names: bool) -> Column:
+        inner = F.filter(pairs, lambda p: (p["at"] > F.col("low")) & (p["at"] < F.col("high")) & (is_name(p) == names))
+        pairs = F.array_distinct(F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
+        return F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
+
+    held = diagonal.withColumn("named", agree(F.flatten("own.pairs"), True)).withColumn("w", F.explode("own"))
+    held = held.filter(agree(F.col("w.pairs"), False) & (F.col("named") | ~F.exists("w.pairs", is_name))).withColumn("place", F.col("w.place"))
     # Coverage of the typed form's windows, or of all places at which a window of any form starts.
     typed = F.when(~F.col("item_literal"), F.col("place"))
     whole = wanted.groupBy("item").agg(F.countDistinct(typed).alias("typed"), F.countDistinct("place").alias("places"))
-    held = diagonal.filter(consistent).select("key", "row", "item", "literal", "item_literal", F.explode("place").alias("place"))
     found = held.groupBy("key", "row", "item").agg(F.countDistinct(F.when(~F.col("literal"), typed)).alias("held_typed"), F.countDistinct("place").alias("held"))
     share = F.greatest(F.try_divide("held_typed", "typed"), F.col("held") / F.col("places"))
     cover = found.join(whole, "item").withColumn("coverage", share).filter(F.col("coverage") >= COVERAGE)

@@ -409,3 +409,14 @@ def test_license_short_names():
     }
     for text, label in (lines | short).items():
         assert license_scan.scan(text.encode())[5] == label, text
+
+
+def test_decontamination_counts_windows_whose_slots_agree(spark):
+    item = f"we pack red boxes for 3 coins each {prose(12, 110)} and blue boxes for 3 coins each {prose(4, 111)}"
+    named = f"when Anna goes {prose(16, 112)} then Anna returns with Bob and {prose(6, 113)}"
+    benchmark = spark.createDataFrame([(1, item), (2, named)], "item_id long, text string")
+    apart = item.replace("3", "5", 1).replace("3", "8")
+    texts = [(1, f"{prose(9, 114)} {apart} {prose(9, 115)}"), (2, f"{prose(9, 116)} {named.replace('Anna', 'Maria', 1)} {prose(9, 117)}"), (3, prose(60, 118))]
+    got = {r["doc_id"]: (r["items"], r["coverage"]) for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
+    assert {d: i for d, (i, _) in got.items()} == {1: "1", 2: "2"}
+    assert got[1][1] == 1.0 and 0.3 <= got[2][1] < 1

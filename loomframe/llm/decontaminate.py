@@ -9,13 +9,13 @@ alignment, and its slots are checked, so that a question whose numbers or names
 template is not. A name of the item must stand for one name all along the alignment, or else its windows with names don't
 count. Numbers and units may fill two roles, so they must be consistent within a window only, or else that window doesn't
 count. A window without a slot always counts. A document is contaminated if the windows that count are at least `COVERAGE`
-of an item's.
+of an item's, or `RUN` on one alignment, however long the item.
 
 A document's windows first pass a bitmap of the benchmark's hashes, whose size is fixed (`BITS`) whatever the benchmark's;
-only windows that pass are joined. A window needs `LITERALS` literal tokens, so text that is all names or numbers never
-matches.
+only windows that pass are joined. A window needs `LITERALS` literal tokens. An item that has no such window goes by exact
+windows of its typed form, whatever their tokens, whose slots have the same values.
 
-Defined cases: null and empty texts, and items without a usable window, match nothing; items with fewer tokens than a
+Defined cases: null and empty texts, and items of under `LEAST` words without a usable window, match nothing; items with fewer tokens than a
 window are one window; repeated items count each for itself; repeated documents each yield a row; an empty benchmark
 marks nothing; null ids are allowed; columns other than the keys and texts are not read.
 """
@@ -33,6 +33,10 @@ from .common import Rolling, byte_view, mixed, pieces_of, text_batches, within,
 
 _U = np.uint64
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.3
+#: Windows on one alignment that mark a document whatever their share of the item: a quote of 50 tokens.
+RUN = 43
+#: Words, a run of numbers as one, that an item without a usable window must have.
+LEAST = 3
 #: Bits of the fixed-size bitmap of benchmark hashes (512 KB).
 BITS = 1 << 22
 NUMBER, NAME, UNIT = (_U(x) for x in (1, 2, 3))
@@ -126,6 +130,18 @@ def windows(code: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, n
     return at, h[at]
 
 
+def exact_windows(form: tuple[np.ndarray, ...], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Start and hash of every window of `size` tokens, slots by value."""
+    code, value, _, own, _ = form
+    n = len(code) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
+    h = Rolling(mixed(np.where(value > 0, value, code))).every(size) ^ _U(size | 16)
+    row = within(own)
+    at = np.flatnonzero(row[:n] == row[size - 1 :])
+    return at, h[at]
+
+
 def marked(mark: np.ndarray, at: np.ndarray, size: np.ndarray | int, least: int) -> np.ndarray:
     """Whether windows hold a token with at least that mark."""
     sums = np.concatenate([[0], np.cumsum(mark >= least)])
@@ -149,9 +165,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
     spark = docs.sparkSession
     item_kind, key_kind = benchmark.schema[item].dataType.simpleString(), docs.schema[key].dataType.simpleString()
 
+    def item_rows(part: pa.RecordBatch, form: tuple[np.ndarray, ...], literal: bool, at: np.ndarray, h: np.ndarray, size: np.ndarray, exact: bool) -> pa.RecordBatch:
+        rows = window_rows(part.column("key"), form, literal, at, h, size)
+        return rows.append_column("size", pa.array(size)).append_column("exact", pa.array(np.full(len(at), exact)))
+
     def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in text_batches(batches):
-            for literal, form in enumerate(template(data, offsets)):
+            forms = template(data, offsets)
+            usable = np.zeros(part.num_rows, bool)
+            for literal, form in enumerate(forms):
                 code, _, _, own, mark = form
                 sizes = np.diff(own)
                 at, h = windows(code, own, WINDOW)
@@ -164,14 +186,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
                 if literal:
                     use = marked(mark, at, size, 1)
                     at, h, size = at[use], h[use], size[use]
-                yield window_rows(part.column("key"), form, bool(literal), at, h, size).append_column("size", pa.array(size))
+                if not literal:
+                    usable[np.searchsorted(own, at, "right") - 1] = True
+                yield item_rows(part, form, bool(literal), at, h, size, False)
+            own = forms[0][3]
+            left = ~usable & (np.diff(forms[1][3]) >= LEAST)
+            sizes = np.minimum(np.diff(own), WINDOW)
+            for n in np.unique(sizes[left]).tolist():
+                at, h = exact_windows(forms[0], n)
+                row = np.searchsorted(own, at, "right") - 1
+                use = left[row] & (sizes[row] == n)
+                size = np.full(int(use.sum()), n)
+                yield item_rows(part, forms[0], False, at[use], h[use], size, True)
 
     items = benchmark.select(F.col(item).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = items.mapInArrow(of_items, f"key {item_kind}, h long, at long, slots array<long>, literal boolean, quiet boolean, place long, size long")
+    wanted = items.mapInArrow(of_items, f"key {item_kind}, h long, at long, slots array<long>, literal boolean, quiet boolean, place long, size long, exact boolean")
     wanted = wanted.withColumnsRenamed({"key": "item", "at": "q", "slots": "item_slots", "literal": "item_literal", "quiet": "item_quiet"}).persist()
     word = F.shiftright(F.col("h").bitwiseAND(F.lit(BITS - 1)), 6)
     bits = wanted.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()  # at most BITS / 64 rows
-    sizes = sorted({r["size"] for r in wanted.select("size").distinct().collect()})  # at most WINDOW rows
+    kinds = sorted({(r["exact"], r["size"]) for r in wanted.select("exact", "size").distinct().collect()})  # at most 2 * WINDOW rows
     bitmap = np.zeros(BITS // 64, np.int64)
     for r in bits:
         bitmap[r["word"]] = r["bits"]
@@ -183,8 +216,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
             for part in pieces_of(batch, "text", 1 << 20):
                 for literal, form in enumerate(template(*byte_view(part.column("text")))):
                     code, _, _, own, mark = form
-                    for n in sizes:
-                        at, h = windows(code, own, n)
+                    for whole, n in kinds:
+                        if whole and literal:
+                            continue
+                        at, h = exact_windows(form, n) if whole else windows(code, own, n)
                         low = (h & _U(BITS - 1)).astype(np.int64)
                         hit = (marks[low >> 6] >> (low & 63)) & 1 > 0
                         if literal:
@@ -211,14 +246,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
         pairs = F.array_distinct(F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
         return F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
 
-    held = diagonal.withColumn("named", agree(F.flatten("own.pairs"), True)).withColumn("w", F.explode("own"))
-    held = held.filter(agree(F.col("w.pairs"), False) & (F.col("named") | ~F.exists("w.pairs", is_name))).withColumn("place", F.col("w.place"))
+    counts = F.filter("own", lambda w: agree(w["pairs"], False) & (F.col("named") | ~F.exists(w["pairs"], is_name)))
+    held = diagonal.withColumn("named", agree(F.flatten("own.pairs"), True)).withColumn("places", F.array_distinct(F.transform(counts, lambda w: w["place"])))
+    held = held.withColumn("run", F.size("places")).withColumn("place", F.explode("places"))
     # Coverage of the typed form's windows, or of all places at which a window of any form starts.
     typed = F.when(~F.col("item_literal"), F.col("place"))
     whole = wanted.groupBy("item").agg(F.countDistinct(typed).alias("typed"), F.countDistinct("place").alias("places"))
-    found = held.groupBy("key", "row", "item").agg(F.countDistinct(F.when(~F.col("literal"), typed)).alias("held_typed"), F.countDistinct("place").alias("held"))
+    found = held.groupBy("key", "row", "item").agg(F.countDistinct(F.when(~F.col("literal"), typed)).alias("held_typed"), F.countDistinct("place").alias("held"), F.max("run").alias("run"))
     share = F.greatest(F.try_divide("held_typed", "typed"), F.col("held") / F.col("places"))
-    cover = found.join(whole, "item").withColumn("coverage", share).filter(F.col("coverage") >= COVERAGE)
+    cover = found.join(whole, "item").withColumn("coverage", share).filter((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
     out = cover.groupBy("key", "row").agg(F.max("coverage").alias("coverage"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("item").cast("string")))).alias("items"))
     return out.select(F.col("key").alias(key), "row", F.lit(True).alias("contaminated"), "coverage", "items")
 

@@ -420,3 +420,13 @@ def test_decontamination_counts_windows_whose_slots_agree(spark):
     got = {r["doc_id"]: (r["items"], r["coverage"]) for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
     assert {d: i for d, (i, _) in got.items()} == {1: "1", 2: "2"}
     assert got[1][1] == 1.0 and 0.3 <= got[2][1] < 1
+
+
+def test_decontamination_of_long_and_short_items(spark):
+    long = prose(500, 120)
+    items = [(1, long), (2, "What is 12 + 35?"), (3, "12 + 35"), (4, "Did Anna Lee meet Bob Ray in Rome, Oslo?")]
+    texts = [(1, f"{prose(9, 121)} {' '.join(long.split()[200:300])} {prose(9, 122)}"), (2, f"{prose(9, 123)}. What is 12 + 35? {prose(9, 124)}"), (3, f"{prose(9, 125)}. What is 12 + 36? {prose(9, 126)}")]
+    texts += [(4, f"{prose(9, 127)}. {items[3][1]} {prose(9, 128)}"), (5, f"{prose(9, 129)}. Did Anna Lee meet Jim Ray in Rome, Oslo?"), (6, " ".join(long.split()[100:140])), (7, "12 + 35")]
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
+    assert got == {1: "1", 2: "2", 4: "4"}

@@ -4,7 +4,7 @@ A document is a bag of passages of `PASSAGE` words. Each passage is described by
 repeated words, encoded by one hidden layer, and weighted by gated attention, softmax(w . (tanh(V h) * sigmoid(U h)));
 the weighted mean of the encodings gives the document's logit. All weights are learnt together from document labels, by
 full-batch Adam in numpy on the driver, on a sample of at most `SAMPLE` labelled rows (those with the smallest hash of
-the id) with at most `SAMPLE_PASSAGES` passages each, evenly spread. Scoring uses every passage of every text in one pass
+the id) with all their passages. Scoring uses every passage of every text in one pass
 without a shuffle.
 
 Defined cases: a null or empty text is one passage without words; label rows without a document, or with a null label,
@@ -24,7 +24,7 @@ from .common import STEP_BYTES, byte_view, lowered, mixed, pieces_of, within, wo
 
 _U = np.uint64
 PASSAGE = 64
-SAMPLE, SAMPLE_PASSAGES = 4_000, 12
+SAMPLE = 4_000
 HIDDEN, GATES, ROUNDS, RATE, DECAY = 24, 12, 150, 0.03, 1e-4
 
 _CLASSES = ["#*$%&<>@^~", "|", "!", ".", ",", "?;:", "0123456789", "\n", "\"'()[]{}", "/\\=+_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
@@ -144,10 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
         for batch in batches:
             for part in pieces_of(batch, "text", 1 << 20):
                 x, bag = passages(*byte_view(part.column("text")))
-                out = []
-                for a, b in zip(bag[:-1].tolist(), bag[1:].tolist()):
-                    keep = np.unique(np.linspace(a, b - 1, min(b - a, SAMPLE_PASSAGES)).astype(np.int64))
-                    out.append(x[keep].tobytes())
+                out = [x[a:b].tobytes() for a, b in zip(bag[:-1].tolist(), bag[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("label"), pa.array(out, pa.binary())], names=["key", "label", "x"])
 
     kind = docs.schema[key].dataType.simpleString()

@@ -430,3 +430,12 @@ def test_decontamination_of_long_and_short_items(spark):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = {r["doc_id"]: r["items"] for r in decontaminate.decontaminate(spark.createDataFrame(texts, "doc_id long, text string"), benchmark).collect()}
     assert got == {1: "1", 2: "2", 4: "4"}
+
+
+def test_attention_trains_on_every_passage(spark, monkeypatch):
+    lengths = [3, 64, 65, 3000, 5129]
+    seen = []
+    monkeypatch.setattr(attention_mil.Model, "fit", lambda self, x, bag, y: seen.append(np.diff(bag).tolist()))
+    df = spark.createDataFrame([(i, prose(n, 130 + i)) for i, n in enumerate(lengths)], "doc_id long, text string")
+    attention_mil.train(df, df.select("doc_id", F.lit(1).alias("quality")), F.lit(True))
+    assert seen == [[-(-n // attention_mil.PASSAGE) for n in lengths]]

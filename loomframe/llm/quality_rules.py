@@ -5,6 +5,10 @@ Each rule votes for (1) or against (-1) a document, or abstains (0). The documen
 documents and, for each rule, how often it votes right for good and for bad ones. The posterior of a pattern is joined
 back as the probability of quality; no rule has to pass for itself.
 
+The estimate counts only documents that pass the base test. Rules' accuracies thus ignore short and repetitive documents
+(the length rule's vote against is never counted), and `quality` of rows that fail the test is extrapolated and no measure
+of them; `kept` is false for these whatever it says.
+
 Counts and repeats are computed inside each row by array functions, so that the only shuffle is that of pattern counts.
 
 Defined cases: a null text has no words and fails the base test; texts without words have posterior like any other

@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: ASCII white space; everything else is part of a word.
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
@@ -41,20 +42,46 @@ def shared_dir(spark: SparkSession, what: str) -> str:
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:
-    """The rows written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost nothing."""
+    """The rows written as Parquet in the shared folder and read again: lineage ends here, and lost executors cost nothing.
+
+    The folder is deleted when the driver's JVM ends; `drop_stored` does so earlier.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, what)
     schema = df.schema
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    place, files = _hadoop(spark, path)
+    files.deleteOnExit(place)
     return spark.read.schema(schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes a table of `stored` once nothing reads it any more."""
-    jvm = spark.sparkContext._jvm
-    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(file)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def _hadoop(spark: SparkSession, path: str):  # noqa: ANN202
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def drop_stored(*tables: DataFrame) -> None:
+    """Deletes tables of `stored` that nothing reads any more."""
+    for df in tables:
+        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            place, files = _hadoop(df.sparkSession, file)
+            files.delete(place, True)
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """The name, with as many underscores in front as tell it from all columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def whole_number_key(docs: DataFrame, key: str) -> Column:
+    """The key as a long; a key of another kind is refused, as operators compare ids by size."""
+    kind = docs.schema[key].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        raise ValueError(f"{key} must be a whole number, not {kind.simpleString()}")
+    return F.col(key).cast("long")
 
 
 def parallelism(spark: SparkSession) -> int:
@@ -94,7 +121,8 @@ def text_batches(batches: Iterator[pa.RecordBatch], column: str = "text") -> Ite
 class Rolling:
     """Polynomial hashes modulo 2**64 of any range of a symbol sequence, from prefix sums.
 
-    hash(s, e) depends on the symbols s..e-1 alone, so equal ranges agree wherever they stand.
+    hash(s, e) depends on the symbols s..e-1 alone, so equal ranges agree wherever they stand. There are short strings
+    that this modulus can't tell apart, so these hashes may route, and nothing may rest on their equality.
     """
 
     BASE = 0x9E3779B97F4A7C15
@@ -119,6 +147,56 @@ class Rolling:
         return mixed((self.sums[k:] - self.sums[:n]) * self.inverse[:n]) if n > 0 else np.zeros(0, _U)
 
 
+PRIME = (1 << 61) - 1
+_P, _30, _31 = _U(PRIME), _U((1 << 30) - 1), _U((1 << 31) - 1)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U(61))
+    return np.minimum(x, x - _P)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1, for values below it, from 31-bit halves."""
+    a1, a0, b1, b0 = a >> _U(31), a & _31, b >> _U(31), b & _31
+    cross = a1 * b0 + a0 * b1
+    return _reduced((a1 * b1 << _U(1)) + (cross >> _U(30)) + ((cross & _30) << _U(31)) + a0 * b0)
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    """The first n powers of base modulo 2**61 - 1; a worker keeps the longest table it needed."""
+    known = _POWERS.get(base, np.ones(1, _U))
+    while len(known) < n:
+        known = np.concatenate([known, times(known, np.array(pow(base, len(known), PRIME), _U))])
+    _POWERS[base] = known
+    return known[:n]
+
+
+class PrimeRolling:
+    """Polynomial hashes modulo the prime 2**61 - 1: two different ranges of n symbols agree with probability n / 2**61.
+
+    Symbols are taken modulo the prime. The base is fixed, so that workers agree.
+    """
+
+    def __init__(self, symbols: np.ndarray, base: int = 0x0B6D5C2F9A371E85):
+        self.inverse = powers(pow(base, -1, PRIME), len(symbols) + 1)
+        value = times(_reduced(symbols.astype(_U, copy=False)), powers(base, len(symbols)))
+        low, high = np.cumsum(value & _31), np.cumsum(value >> _U(31))
+        self.sums = np.zeros(len(symbols) + 1, _U)
+        self.sums[1:] = _reduced((high >> _U(30)) + ((high & _30) << _U(31)) + low)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed(times(_reduced(self.sums[end] + _P - self.sums[start]), self.inverse[start]))
+
+    def every(self, k: int) -> np.ndarray:
+        """Hashes of all ranges of k symbols."""
+        n = len(self.sums) - k
+        return self.of(np.s_[:n], np.s_[k:]) if n > 0 else np.zeros(0, _U)
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser; works on its argument, which must not be used elsewhere."""
     h ^= h >> _U(32)
@@ -163,8 +241,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the given byte ranges."""
-    return Rolling(BYTE_CODES[data]).of(starts, ends)
+    """Hashes of the given byte ranges, modulo 2**61 - 1 and spread over 64 bits."""
+    return PrimeRolling(BYTE_CODES[data], 0x13A7C9E2D45B8F61).of(starts, ends)
 
 
 def within(offsets: np.ndarray) -> np.ndarray:

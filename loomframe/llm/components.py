@@ -24,8 +24,8 @@ def components(links: DataFrame) -> DataFrame:
         jumped = lower.join(up, "now", "left").select("id", "was", F.least("now", F.coalesce("above", "now")).alias("label"))
         new = stored(jumped, "labels")
         changed = new.filter("label <> was").limit(1).count()
-        drop_stored(labels.sparkSession, labels)
+        drop_stored(labels)
         labels = new.select("id", "label")
         if not changed:
-            drop_stored(both.sparkSession, both)
+            drop_stored(both)
             return labels

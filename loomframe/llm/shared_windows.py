@@ -14,7 +14,8 @@ batches of documents, which all read one exchange of the texts:
 4. a bucket drops repeated contents, hands the rest to a matcher, which gives for every window the smallest id among the
    documents that have it, and answers each batch with the ranges that a smaller document has too.
 
-No document's links, anchors or ranges reach the driver; work and traffic are linear in the text.
+Hashes only route: records travel with their bytes, contents count as equal after a comparison of these, and words become
+symbols in the bucket, after the same comparison. No document's links, anchors or ranges reach the driver; work and traffic are linear in the text.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_CODES, Rolling, byte_view, mixed, parallelism, within, word_bounds, word_hashes
+from .common import BYTE_CODES, Rolling, byte_view, mixed, parallelism, whole_number_key, within, word_bounds, word_hashes
 
 _U = np.uint64
 #: Bytes of text in a batch, and symbols in one vectorised step.
@@ -41,6 +42,8 @@ MATCHED = 1 << 18
 NO_ID = -(1 << 63)
 FINGERPRINT = _U((1 << 48) - 1)
 
+#: What shared_windows tells of each document.
+RESULTS = ("symbols", "removed", "spans", "kept", "ranges")
 #: symbols, offsets of records, smallest id of each record, window -> smallest id for each window of each record
 Matcher = Callable[[np.ndarray, np.ndarray, np.ndarray, int], np.ndarray]
 
@@ -87,7 +90,8 @@ def steps(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 @dataclass
 class Batch:
-    """The documents of a batch in the order of their ids, as symbols."""
+    """The documents of a batch in the order of their ids, as symbols; of words, codes hold hashes, and text the words with
+    one blank between them."""
 
     table: pa.Table
     data: np.ndarray
@@ -97,6 +101,20 @@ class Batch:
     offsets: np.ndarray
     starts: np.ndarray | None = None
     ends: np.ndarray | None = None
+    text: np.ndarray | None = None
+    text_starts: np.ndarray | None = None
+
+    def spans(self, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes in which ranges of symbols stand, and where they begin and how long they are there."""
+        if self.starts is None:
+            return self.data, start, length
+        if self.text is None:
+            size = self.ends - self.starts + 1
+            self.text_starts = np.cumsum(size) - size
+            self.text = gathered(np.append(self.data, np.uint8(0x20)), self.starts, size)
+            self.text[self.text_starts + size - 1] = 0x20
+        first, last = self.text_starts[start], start + length - 1
+        return self.text, first, self.text_starts[last] + (self.ends - self.starts)[last] - first
 
     @classmethod
     def of(cls, table: pa.Table, shape: Shape) -> Batch:
@@ -240,37 +258,59 @@ def gathered(symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.n
     return symbols[np.arange(total) + np.repeat(start - (np.cumsum(length) - length), length)]
 
 
+def equal_ranges(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether symbols[a : a + length] and symbols[b : b + length] are the same, range by range."""
+    out = np.ones(len(a), bool)
+    offsets = np.concatenate([[0], np.cumsum(length)])
+    for i, j in steps(offsets):
+        differ = gathered(symbols, a[i:j], length[i:j]) != gathered(symbols, b[i:j], length[i:j])
+        out[within(offsets[i : j + 1])[differ] + i] = False
+    return out
+
+
+def content_classes(hashes: np.ndarray, symbols: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First range of each class of equal ranges, and each range's class. Hashes propose the classes, symbols decide."""
+    _, first, which = np.unique(hashes + _U(31) * length.astype(_U), return_index=True, return_inverse=True)
+    head = first[which]
+    later = np.flatnonzero(head != np.arange(len(head)))
+    if (length[later] == length[head[later]]).all() and equal_ranges(symbols, start[later], start[head[later]], length[later]).all():
+        return first, which
+    known: dict[bytes, int] = {}
+    which = np.array([known.setdefault(symbols[s : s + n].tobytes(), len(known)) for s, n in zip(start.tolist(), length.tolist())])
+    return np.unique(which, return_index=True)[1], which
+
+
 def parcels(batch: Batch, shape: Shape, answers: list[bytes], buckets: int) -> list[tuple[int, bytes, bytes, bytes]]:
     """For each bucket: contents, their hash and length, and the places where they stand."""
     key, content, start, length, row = records(batch, shape, answers)
+    text, begin, size = batch.spans(start, length)
     out = []
     for bucket, x in by_bucket((key % _U(buckets)).astype(np.int64)):
-        _, first, which = np.unique(content[x] + _U(31) * length[x].astype(_U), return_index=True, return_inverse=True)
+        first, which = content_classes(content[x], text, begin[x], size[x])
         f = x[first]
         places = packed(which.astype("u4"), row[x].astype("u4"), (start[x] - batch.offsets[row[x]]).astype("u4"), batch.ids[row[x]])
-        out.append((bucket, gathered(batch.codes, start[f], length[f]).tobytes(), packed(content[f], length[f].astype("u4"), key[f]), places))
+        out.append((bucket, gathered(text, begin[f], size[f]).tobytes(), packed(content[f], length[f].astype("u4"), key[f], size[f].astype("u4")), places))
     return out
 
 
 def settle_records(shape: Shape, matcher: Matcher, batches: np.ndarray, contents: list[bytes], heads: list[bytes], places: list[bytes]) -> list[tuple[int, bytes]]:
     """One bucket of records: for each batch the ranges (row, start, end) of windows that a smaller document has."""
-    kind = _U if shape.words else np.uint8
-    symbols = np.concatenate([np.frombuffer(c, kind) for c in contents])
+    text = np.concatenate([np.frombuffer(c, np.uint8) for c in contents])
     parts, where = [unpacked(h) for h in heads], [unpacked(p) for p in places]
-    content, length, key = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2))
-    length = length.astype(np.int64)
+    content, length, key, size = (np.concatenate([p[i] for p in parts]) for i in range(4))
+    length, size = length.astype(np.int64), size.astype(np.int64)
+    offsets = np.cumsum(size) - size
     base = np.cumsum([0] + [len(p[0]) for p in parts])
     record = np.concatenate([w[0] + b for w, b in zip(where, base)]).astype(np.int64)
     row, start, ids = (np.concatenate([w[i] for w in where]) for i in (1, 2, 3))
     asker = np.repeat(np.arange(len(where)), [len(w[0]) for w in where])
-    _, first, which = np.unique(content + _U(31) * length.astype(_U), return_index=True, return_inverse=True)
+    first, which = content_classes(content, text, offsets, size)
     by_key = np.argsort(key[first], kind="stable")
     place = np.empty(len(first), np.int64)
     place[by_key] = np.arange(len(first))
     first, one = first[by_key], place[which[record]]
     least = np.full(len(first), np.iinfo(np.int64).max)
     np.minimum.at(least, one, ids)
-    offsets = np.cumsum(length) - length
     # Equal windows have one key, so keys can be matched one after another, a bounded number of symbols at a time.
     ends = np.append(np.flatnonzero(np.diff(key[first])) + 1, len(first))
     reach = np.cumsum(length[first])[ends - 1]
@@ -279,7 +319,11 @@ def settle_records(shape: Shape, matcher: Matcher, batches: np.ndarray, contents
         done = int(reach[np.searchsorted(ends, a, "right") - 1]) if a else 0
         b = int(ends[max(np.searchsorted(reach, done + MATCHED, "right") - 1, np.searchsorted(ends, a, "right"))])
         f = first[a:b]
-        smallest.append(matcher(gathered(symbols, offsets[f], length[f]), np.concatenate([[0], np.cumsum(length[f])]), least[a:b], shape.window))
+        own = gathered(text, offsets[f], size[f])
+        if shape.words:
+            starts, stops, _ = word_bounds(own, np.concatenate([[0], np.cumsum(size[f])]))
+            own = content_classes(word_hashes(own, starts, stops), own, starts, stops - starts)[1]
+        smallest.append(matcher(own, np.concatenate([[0], np.cumsum(length[f])]), least[a:b], shape.window))
         a = b
     smallest = np.concatenate(smallest)
     windows = length[first] - shape.window + 1
@@ -319,13 +363,13 @@ def removed(batch: Batch, answers: list[bytes], whole_characters: bool) -> np.nd
 
 
 def shared_windows(docs: DataFrame, shape: Shape, matcher: Matcher, key: str, whole_characters: bool = False) -> DataFrame:
-    """All columns of `docs` with `_symbols`, `_removed`, `_spans` (longs), `_kept` (binary) and `_ranges`, which has the
-    removed ranges in symbols."""
+    """`row`, a struct of all columns of `docs`, with `symbols`, `removed`, `spans` (longs), `kept` (binary) and `ranges`, which
+    has the removed ranges in symbols."""
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     least = 2 * parallelism(spark)
     batches = max(least, -(-size // BATCH_BYTES))
-    ids = F.coalesce(F.col(key).cast("long"), F.lit(NO_ID))
+    ids = F.coalesce(whole_number_key(docs, key), F.lit(NO_ID))
     carried = [c for c in docs.columns]
     row = F.xxhash64(*carried)
     names = {c: f"c{i}" for i, c in enumerate(carried)}
@@ -398,4 +442,11 @@ def shared_windows(docs: DataFrame, shape: Shape, matcher: Matcher, key: str, wh
     ranges = sent.groupBy("_bucket").applyInArrow(match, "_batch int, _blob binary")
     done = body.groupBy("_batch").cogroup(ranges.groupBy("_batch")).applyInArrow(finish, target)
     text = F.when(~F.col("_null"), F.col("_text").cast("string")).alias("text")
-    return done.select(*(text if c == "text" else F.col(names[c]).alias(c) for c in carried), "_symbols", "_removed", "_spans", "_kept", "_ranges")
+    row = F.struct(*(text if c == "text" else F.col(names[c]).alias(c) for c in carried)).alias("row")
+    return done.select(row, *(F.col(f"_{c}").alias(c) for c in RESULTS))
+
+
+def beside(done: DataFrame, columns: list[str], names: dict[str, str]) -> DataFrame:
+    """The input's columns with the results under the given names; a column of the input with one of these names gives way."""
+    taken = {n.lower() for n in names.values()}
+    return done.select(*(F.col("row")[c].alias(c) for c in columns if c.lower() not in taken), *(F.col(a).alias(b) for a, b in names.items()))

@@ -8,16 +8,16 @@ smallest document; maximal runs of such windows are the spans to remove.
 
 Defined cases: a null text has no words; fewer words than a window lose nothing; of equal ids none is smaller; null ids
 count as smallest; repeated rows are judged each for itself; an empty table gives an empty result; all columns of the
-input are kept. Words are compared by 64-bit hashes.
+input are kept, but for one with the name of a result, which gives way; ids that aren't whole numbers are refused. Very long
+texts are one batch. Hashes only route; passages and words are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared_windows import Shape, shared_windows
+from .shared_windows import Shape, beside, shared_windows
 
 #: Words in the grams that anchors are chosen from.
 ANCHOR = 5
@@ -114,5 +114,5 @@ def smallest_ids(symbols: np.ndarray, bounds: np.ndarray, ids: np.ndarray, windo
 def remove_passages(docs: DataFrame, min_words: int = 13, key: str = "doc_id") -> DataFrame:
     """The input's columns with n_words, n_removed, n_spans, kept (binary, words joined by one space) and removed ranges."""
     shape = Shape(min_words, min(ANCHOR, max(1, min_words // 2)), words=True)
-    names = {"_symbols": "n_words", "_removed": "n_removed", "_spans": "n_spans", "_kept": "kept", "_ranges": "ranges"}
-    return shared_windows(docs, shape, smallest_ids, key).select(*docs.columns, *(F.col(a).alias(b) for a, b in names.items()))
+    names = {"symbols": "n_words", "removed": "n_removed", "spans": "n_spans", "kept": "kept", "ranges": "ranges"}
+    return beside(shared_windows(docs, shape, smallest_ids, key), docs.columns, names)

@@ -9,16 +9,16 @@ and expansion stops at `min_bytes`: suffixes not yet parted share at least that
 
 Defined cases: a null text is empty and stays null; a text shorter than a window loses nothing; of equal ids none is
 smaller; ids that are null count as smallest; repeated rows and ties are judged each for itself; an empty table gives an
-empty result; all columns of the input are kept. Texts are UTF-8, in which the byte 0xFF, used here inside, doesn't occur.
+empty result; all columns of the input are kept, but for one with the name of a result, which gives way; ids that aren't
+whole numbers are refused. Texts are UTF-8, in which the byte 0xFF, used here inside, doesn't occur.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .shared_windows import Shape, shared_windows
+from .shared_windows import Shape, beside, shared_windows
 
 #: Grams that anchors are chosen from, in bytes, by window length.
 ANCHOR = 20
@@ -116,11 +116,15 @@ def smallest_ids(symbols: np.ndarray, bounds: np.ndarray, ids: np.ndarray, windo
     return value[start]
 
 
-def remove_repeats(docs: DataFrame, min_bytes: int = 50, key: str = "doc_id", whole_characters: bool = False) -> DataFrame:
-    """The input's columns with n_bytes, n_removed, n_spans, kept (binary) and ranges of removed bytes.
+def repeats(docs: DataFrame, min_bytes: int = 50, key: str = "doc_id", whole_characters: bool = False) -> DataFrame:
+    """`row`, a struct of the input's columns, with symbols (bytes), removed, spans, kept (binary) and ranges of removed bytes.
 
     With `whole_characters` a character goes only if all of its bytes do, so that what is kept is text again.
     """
-    shape = Shape(min_bytes, min(ANCHOR, max(1, min_bytes // 2)), words=False)
-    names = {"_symbols": "n_bytes", "_removed": "n_removed", "_spans": "n_spans", "_kept": "kept", "_ranges": "ranges"}
-    return shared_windows(docs, shape, smallest_ids, key, whole_characters).select(*docs.columns, *(F.col(a).alias(b) for a, b in names.items()))
+    return shared_windows(docs, Shape(min_bytes, min(ANCHOR, max(1, min_bytes // 2)), words=False), smallest_ids, key, whole_characters)
+
+
+def remove_repeats(docs: DataFrame, min_bytes: int = 50, key: str = "doc_id", whole_characters: bool = False) -> DataFrame:
+    """The input's columns with n_bytes, n_removed, n_spans, kept and ranges; see `repeats`."""
+    names = {"symbols": "n_bytes", "removed": "n_removed", "spans": "n_spans", "kept": "kept", "ranges": "ranges"}
+    return beside(repeats(docs, min_bytes, key, whole_characters), docs.columns, names)

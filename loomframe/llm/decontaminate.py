@@ -16,8 +16,9 @@ only windows that pass are joined. A window needs `LITERALS` literal tokens. An
 windows of its typed form, whatever their tokens, whose slots have the same values.
 
 Defined cases: null and empty texts, and items of under `LEAST` words without a usable window, match nothing; items with fewer tokens than a
-window are one window; repeated items count each for itself; repeated documents each yield a row; an empty benchmark
-marks nothing; null ids are allowed; columns other than the keys and texts are not read.
+window are one window; items of one id and different texts count each for itself; repeated documents each yield a row; an
+empty benchmark marks nothing; null ids of documents and items are allowed (a null item is listed as "null"); very long
+texts are read whole; columns other than the keys and texts are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, byte_view, mixed, pieces_of, text_batches, within, word_hashes
+from .common import PrimeRolling, byte_view, fresh, mixed, pieces_of, stored, text_batches, within, word_hashes
 
 _U = np.uint64
 WINDOW, LITERALS, COVERAGE = 8, 4, 0.3
@@ -122,7 +123,7 @@ def windows(code: np.ndarray, own: np.ndarray, size: int) -> tuple[np.ndarray, n
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    h = Rolling(mixed(code + _U(0))).every(size) ^ _U(size)
+    h = PrimeRolling(mixed(code + _U(0))).every(size) ^ _U(size)
     literals = np.concatenate([[0], np.cumsum(code >= _U(8))])
     row = within(own)
     good = (row[:n] == row[size - 1 :]) & (literals[size:] - literals[:n] >= min(LITERALS, size))
@@ -136,7 +137,7 @@ def exact_windows(form: tuple[np.ndarray, ...], size: int) -> tuple[np.ndarray,
     n = len(code) - size + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, _U)
-    h = Rolling(mixed(np.where(value > 0, value, code))).every(size) ^ _U(size | 16)
+    h = PrimeRolling(mixed(np.where(value > 0, value, code))).every(size) ^ _U(size | 16)
     row = within(own)
     at = np.flatnonzero(row[:n] == row[size - 1 :])
     return at, h[at]
@@ -151,19 +152,22 @@ def marked(mark: np.ndarray, at: np.ndarray, size: np.ndarray | int, least: int)
 def window_rows(keys: pa.Array, form: tuple[np.ndarray, ...], literal: bool, at: np.ndarray, h: np.ndarray, size: np.ndarray) -> pa.RecordBatch:
     _, value, head, own, mark = form
     row = np.searchsorted(own, at, "right") - 1
-    slots = []
-    for a, n in zip(at.tolist(), size.tolist()):
-        slots.append(value[a : a + n].view(np.int64).tolist())
+    ends = np.cumsum(size)
+    slots = value[np.arange(int(size.sum())) + np.repeat(at - (ends - size), size)].view(np.int64)
+    slots = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(slots))
     quiet = ~marked(mark, at, size, 2) & literal
     place = head[at] - head[own[row]] if len(at) else at
-    cols = [keys.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at - own[row]), pa.array(slots, pa.list_(pa.int64())), pa.array(np.full(len(at), literal)), pa.array(quiet), pa.array(place)]
+    cols = [keys.take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(at - own[row]), slots, pa.array(np.full(len(at), literal)), pa.array(quiet), pa.array(place)]
     return pa.RecordBatch.from_arrays(cols, names=["key", "h", "at", "slots", "literal", "quiet", "place"])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: str = "item_id") -> DataFrame:
-    """One row per contaminated document (key, xxhash64 of its text as row): coverage of the best item, and the items."""
+    """One row per contaminated document (key, xxhash64 of its text as row): coverage of the best item, and the items.
+
+    Items are told apart by id and text together, documents by a number that the scan gives them.
+    """
     spark = docs.sparkSession
-    item_kind, key_kind = benchmark.schema[item].dataType.simpleString(), docs.schema[key].dataType.simpleString()
+    key_kind = docs.schema[key].dataType.simpleString()
 
     def item_rows(part: pa.RecordBatch, form: tuple[np.ndarray, ...], literal: bool, at: np.ndarray, h: np.ndarray, size: np.ndarray, exact: bool) -> pa.RecordBatch:
         rows = window_rows(part.column("key"), form, literal, at, h, size)
@@ -199,9 +203,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
                 size = np.full(int(use.sum()), n)
                 yield item_rows(part, forms[0], False, at[use], h[use], size, True)
 
-    items = benchmark.select(F.col(item).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    wanted = items.mapInArrow(of_items, f"key {item_kind}, h long, at long, slots array<long>, literal boolean, quiet boolean, place long, size long, exact boolean")
-    wanted = wanted.withColumnsRenamed({"key": "item", "at": "q", "slots": "item_slots", "literal": "item_literal", "quiet": "item_quiet"}).persist()
+    text = F.coalesce("text", F.lit(""))
+    items = benchmark.select(F.struct(F.xxhash64(F.col(item), text).alias("row"), F.col(item).cast("string").alias("id")).alias("key"), text.alias("text"))
+    wanted = items.mapInArrow(of_items, "key struct<row:long,id:string>, h long, at long, slots array<long>, literal boolean, quiet boolean, place long, size long, exact boolean")
+    wanted = wanted.withColumnsRenamed({"at": "q", "slots": "item_slots", "literal": "item_literal", "quiet": "item_quiet"})
+    wanted = stored(wanted.withColumn("item", F.col("key.row")).withColumn("item_id", F.col("key.id")).drop("key"), "benchmark-windows")
     word = F.shiftright(F.col("h").bitwiseAND(F.lit(BITS - 1)), 6)
     bits = wanted.groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(h & 63 as int)))").alias("bits")).collect()  # at most BITS / 64 rows
     kinds = sorted({(r["exact"], r["size"]) for r in wanted.select("exact", "size").distinct().collect()})  # at most 2 * WINDOW rows
@@ -225,15 +231,14 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
                         if literal:
                             hit &= marked(mark, at, n, 1)
                         if hit.any():
-                            rows = window_rows(part.column("key"), form, bool(literal), at[hit], h[hit], np.full(int(hit.sum()), n)).drop_columns(["place"])
-                            yield rows.append_column("row", part.column("row").take(pa.array(np.searchsorted(own, at[hit], "right") - 1)))
+                            yield window_rows(part.column("key"), form, bool(literal), at[hit], h[hit], np.full(int(hit.sum()), n)).drop_columns(["place"])
 
-    texts = docs.select(F.col(key).alias("key"), F.coalesce("text", F.lit("")).alias("text")).withColumn("row", F.xxhash64("text"))
-    seen = texts.mapInArrow(of_docs, f"key {key_kind}, h long, at long, slots array<long>, literal boolean, quiet boolean, row long")
+    doc = F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("row"), F.monotonically_increasing_id().alias("number"))
+    seen = docs.select(doc.alias("key"), text.alias("text")).mapInArrow(of_docs, f"key struct<id:{key_kind},row:long,number:long>, h long, at long, slots array<long>, literal boolean, quiet boolean")
     # A document's windows with one hash, and an item's, meet on one diagonal each; alignments are bounded by items.
     slots = F.transform(F.arrays_zip(F.col("item_slots").alias("x"), F.col("slots").alias("y")), lambda p, i: F.struct((F.col("q") + i).alias("at"), p["x"].alias("x"), p["y"].alias("y")))
-    met = seen.join(wanted, "h").filter(~(F.col("quiet") & F.col("item_quiet"))).withColumn("pairs", F.filter(slots, lambda p: p["x"] != 0))
-    diagonal = met.groupBy("key", "row", "item", "literal", "item_literal", (F.col("at") - F.col("q")).alias("diagonal")).agg(
+    met = seen.join(wanted.drop("item_id", "exact"), "h").filter(~(F.col("quiet") & F.col("item_quiet"))).withColumn("pairs", F.filter(slots, lambda p: p["x"] != 0))
+    diagonal = met.groupBy("key", "item", "literal", "item_literal", (F.col("at") - F.col("q")).alias("diagonal")).agg(
         F.collect_set(F.struct("place", "pairs")).alias("own"), F.min("q").alias("low"), F.max(F.col("q") + F.col("size") - 1).alias("high")
     )
 
@@ -241,26 +246,29 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", it
         return pair["x"].bitwiseAND(F.lit(3)) == int(NAME)
 
     # A slot at an end of the alignment may have run together with a word outside of it, so it proves nothing.
+    # An item's name must stand for one name, and a document's too; two numbers may well become equal.
     def agree(pairs: Column, names: bool) -> Column:
         inner = F.filter(pairs, lambda p: (p["at"] > F.col("low")) & (p["at"] < F.col("high")) & (is_name(p) == names))
         pairs = F.array_distinct(F.transform(inner, lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
-        return F.size(F.array_distinct(F.transform(pairs, lambda p: p["x"]))) == F.size(pairs)
+        one = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda p: p[side]))) == F.size(pairs)
+        return one("x") & one("y") if names else one("x")
 
     counts = F.filter("own", lambda w: agree(w["pairs"], False) & (F.col("named") | ~F.exists(w["pairs"], is_name)))
     held = diagonal.withColumn("named", agree(F.flatten("own.pairs"), True)).withColumn("places", F.array_distinct(F.transform(counts, lambda w: w["place"])))
     held = held.withColumn("run", F.size("places")).withColumn("place", F.explode("places"))
     # Coverage of the typed form's windows, or of all places at which a window of any form starts.
     typed = F.when(~F.col("item_literal"), F.col("place"))
-    whole = wanted.groupBy("item").agg(F.countDistinct(typed).alias("typed"), F.countDistinct("place").alias("places"))
-    found = held.groupBy("key", "row", "item").agg(F.countDistinct(F.when(~F.col("literal"), typed)).alias("held_typed"), F.countDistinct("place").alias("held"), F.max("run").alias("run"))
+    whole = wanted.groupBy("item").agg(F.first("item_id").alias("item_id"), F.countDistinct(typed).alias("typed"), F.countDistinct("place").alias("places"))
+    found = held.groupBy("key", "item").agg(F.countDistinct(F.when(~F.col("literal"), typed)).alias("held_typed"), F.countDistinct("place").alias("held"), F.max("run").alias("run"))
     share = F.greatest(F.try_divide("held_typed", "typed"), F.col("held") / F.col("places"))
     cover = found.join(whole, "item").withColumn("coverage", share).filter((F.col("coverage") >= COVERAGE) | (F.col("run") >= RUN))
-    out = cover.groupBy("key", "row").agg(F.max("coverage").alias("coverage"), F.concat_ws(",", F.array_sort(F.collect_set(F.col("item").cast("string")))).alias("items"))
-    return out.select(F.col("key").alias(key), "row", F.lit(True).alias("contaminated"), "coverage", "items")
+    out = cover.groupBy("key").agg(F.max("coverage").alias("coverage"), F.concat_ws(",", F.array_sort(F.collect_set(F.coalesce("item_id", F.lit("null"))))).alias("items"))
+    return out.select(F.col("key.id").alias(key), F.col("key.row").alias("row"), F.lit(True).alias("contaminated"), "coverage", "items")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = decontaminate(docs, benchmark, key).select(F.col(key).alias("_key"), F.col("row").alias("_row"))
+    own, digest = (fresh(docs.columns, c) for c in ("id", "row"))
+    found = decontaminate(docs, benchmark, key).select(F.col(key).alias(own), F.col("row").alias(digest))
     row = F.xxhash64(F.coalesce("text", F.lit("")))
-    return docs.join(found, F.col(key).eqNullSafe(F.col("_key")) & (row == F.col("_row")), "left_anti")
+    return docs.join(found, F.col(key).eqNullSafe(F.col(own)) & (row == F.col(digest)), "left_anti")

@@ -1,14 +1,14 @@
 """Quality classifier by attention-based multiple-instance learning.
 
-A document is a bag of passages of `PASSAGE` words. Each passage is described by counts of character classes and of
-repeated words, encoded by one hidden layer, and weighted by gated attention, softmax(w . (tanh(V h) * sigmoid(U h)));
+A document is a bag of passages of `PASSAGE` words. Each passage is described by counts of character classes, of repeated
+words, and of words by `BUCKETS` hash buckets with signs, encoded by one hidden layer, and weighted by gated attention, softmax(w . (tanh(V h) * sigmoid(U h)));
 the weighted mean of the encodings gives the document's logit. All weights are learnt together from document labels, by
 full-batch Adam in numpy on the driver, on a sample of at most `SAMPLE` labelled rows (those with the smallest hash of
-the id) with all their passages. Scoring uses every passage of every text in one pass
-without a shuffle.
+the id) with all their passages. Scoring uses every passage of every text in one pass without a shuffle.
 
 Defined cases: a null or empty text is one passage without words; label rows without a document, or with a null label,
-teach nothing; with no usable label every score is 0.5; repeated rows get equal scores; only the text enters a score.
+teach nothing; two labels of one document both teach; with no usable label every score is 0.5; repeated rows get equal
+scores; very long texts are read whole; only the text enters a score; columns of any name pass through.
 """
 
 from __future__ import annotations
@@ -20,19 +20,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import STEP_BYTES, byte_view, lowered, mixed, pieces_of, within, word_bounds, word_hashes
+from .common import STEP_BYTES, byte_view, fresh, lowered, mixed, pieces_of, within, word_bounds, word_hashes
 
 _U = np.uint64
 PASSAGE = 64
-SAMPLE = 4_000
-HIDDEN, GATES, ROUNDS, RATE, DECAY = 24, 12, 150, 0.03, 1e-4
+SAMPLE = 6_000
+HIDDEN, GATES, ROUNDS, RATE, DECAY = 32, 16, 400, 0.03, 1e-4
+#: Hash buckets of words.
+BUCKETS = 64
 
 _CLASSES = ["#*$%&<>@^~", "|", "!", ".", ",", "?;:", "0123456789", "\n", "\"'()[]{}", "/\\=+_-", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
 _CLASS = np.zeros((len(_CLASSES) + 1, 256), bool)
 for _i, _c in enumerate(_CLASSES):
     _CLASS[_i, [ord(x) for x in _c]] = True
 _CLASS[-1, 0xC2:0xF5] = True
-FEATURES = len(_CLASSES) + 1 + 9
+COUNTS = len(_CLASSES) + 1 + 9
+FEATURES = COUNTS + BUCKETS
 
 
 def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -68,8 +71,8 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
         out[:, k + 3] = (again[b] - again[a]) / n
         whole = np.unique(mixed(h + place.astype(_U) * _U(0x9E3779B97F4A7C15)) >> _U(24) | place.astype(_U) << _U(40))
         out[:, k + 4] = np.bincount((whole >> _U(40)).astype(np.int64), minlength=total) / n
-        upper = np.concatenate([[0], np.cumsum(ends - starts == 1)])
-        out[:, k + 5] = (upper[b] - upper[a]) / n
+        short = np.concatenate([[0], np.cumsum(ends - starts == 1)])
+        out[:, k + 5] = (short[b] - short[a]) / n
         tail = data[ends - 1]
         marked = np.concatenate([[0], np.cumsum(_CLASS[0][tail] | (tail == 0x21) | (tail == 0x7C))])
         out[:, k + 6] = (marked[b] - marked[a]) / n
@@ -83,6 +86,9 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
             old[first] = False
             old = np.concatenate([[0], np.cumsum(np.append(old & fit, [False, False]))])
             out[:, k + 7] = (old[b] - old[a]) / n
+        sign = (h & _U(1)).astype(np.float64) * 2 - 1
+        cell = place * BUCKETS + (h >> _U(40)).astype(np.int64) % BUCKETS
+        out[:, COUNTS:] = np.bincount(cell, sign, total * BUCKETS).reshape(total, BUCKETS) / np.sqrt(n)[:, None]
     lines = np.concatenate([[0], np.cumsum(data == 0x0A)])
     out[:, k + 8] = np.log1p((stop - begin) / (lines[stop] - lines[begin] + 1))
     return out.astype(np.float32), bag
@@ -94,7 +100,8 @@ class Model:
     def __init__(self, mean: np.ndarray, scale: np.ndarray, seed: int = 8):
         r = np.random.default_rng(seed)
         self.mean, self.scale = mean, scale
-        self.w = [r.normal(0, 1 / np.sqrt(FEATURES), (FEATURES, HIDDEN)), np.zeros(HIDDEN), r.normal(0, 0.2, (HIDDEN, GATES)), r.normal(0, 0.2, (HIDDEN, GATES)), r.normal(0, 0.2, GATES), r.normal(0, 0.2, HIDDEN), np.zeros(1)]
+        sizes = ((FEATURES, HIDDEN), 1 / np.sqrt(FEATURES)), (HIDDEN, 0.0), ((HIDDEN, GATES), 0.2), ((HIDDEN, GATES), 0.2), (GATES, 0.2), (HIDDEN, 0.2), (1, 0.0)
+        self.w = [r.normal(0, deviation, size) for size, deviation in sizes]
 
     def forward(self, x: np.ndarray, bag: np.ndarray) -> tuple[np.ndarray, tuple]:
         w, b, v, u, g, o, c = self.w
@@ -158,9 +165,11 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality
     return Model(mean, scale).fit((x - mean) / scale, bag, np.array([r["label"] for r in rows], np.float64))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of `docs` and `_score`."""
+def score(docs: DataFrame, model: Model | None, name: str = "_score") -> DataFrame:
+    """All columns of `docs` and the score under the given name, which none of them may have."""
     text = F.coalesce("text", F.lit("")).alias("text")
+    if fresh(docs.columns, name) != name:
+        raise ValueError(f"the input has a column {name}; give another name for the score")
     inner = docs.select(text, F.struct(*docs.columns).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,7 +177,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             for part in pieces_of(batch, "text", STEP_BYTES):
                 n = part.num_rows
                 own = model.score(*passages(*byte_view(part.column("text")))) if model is not None and n else np.full(n, 0.5)
-                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(own, pa.float64())], names=["row", "_score"])
+                yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(own, pa.float64())], names=["row", "score"])
 
     row = docs.schema.simpleString()
-    return inner.mapInArrow(run, f"row {row}, _score double").select(*(F.col("row")[c].alias(c) for c in docs.columns), "_score")
+    return inner.mapInArrow(run, f"row {row}, score double").select(*(F.col("row")[c].alias(c) for c in docs.columns), F.col("score").alias(name))

@@ -189,7 +189,8 @@ def pack(pieces: DataFrame, groups: int, key: str = "doc_id", sequence: int = SE
         out["offset"] = offsets
         return out
 
-    h = F.xxhash64(F.col(key), F.col("piece"))
+    # The content's crc deals out rows of one id, or of none.
+    h = F.xxhash64(F.col(key), F.col("piece"), F.col("ids_crc32"))
     dealt = pieces.select(F.col(key).alias("key"), "piece", "start", "length", "ids_crc32", h.alias("h"), F.pmod(h, F.lit(groups)).alias("g"))
     out = dealt.groupBy("g").applyInPandas(place, PIECES.format(kind=kind) + ", sequence_id long, offset long")
     return out.withColumnRenamed("key", key)

@@ -3,7 +3,8 @@
 Each rule votes for (1) or against (-1) a document, or abstains (0). The documents are counted by their pattern of votes
 (at most 3 ** rules rows, whatever the input), and expectation-maximisation on these counts estimates the share of good
 documents and, for each rule, how often it votes right for good and for bad ones. The posterior of a pattern is joined
-back as the probability of quality; no rule has to pass for itself.
+back as the probability of quality; no rule has to pass for itself. No label is read, and no belief about a rule goes in but
+two counts for each class; the rules' majority is where the estimate begins.
 
 The estimate counts only documents that pass the base test. Rules' accuracies thus ignore short and repetitive documents
 (the length rule's vote against is never counted), and `quality` of rows that fail the test is extrapolated and no measure
@@ -28,10 +29,12 @@ from .common import stored
 
 BLANKS = ("\t", "\n", "\x0b", "\x0c", "\r")
 SYMBOLS = "#*$%&|<>"
-ROUNDS = 40
-#: Chance of a vote against a good document, share of good documents, and the weight of these beliefs as a share of all
-#: documents.
-WRONG, GOOD, BELIEF = 0.01, 0.8, 0.5
+#: Rounds at most, and the change of a posterior that ends them.
+ROUNDS, SETTLED = 200, 1e-9
+#: Counts added to each vote of each class, and to each class.
+ADDED = 2.0
+#: Characters of a short word, at most.
+SHORT = 3
 
 
 def without(text: Column, marks: str) -> Column:
@@ -92,7 +95,9 @@ def measures(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.size("lines").cast("long").alias("n_lines"),
         (length(solid) - length(without(solid, "!"))).alias("n_shouts"),
         (length(solid) - length(without(solid, "."))).alias("n_stops"),
-        F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
+        (length(solid) - length(without(solid, ","))).alias("n_commas"),
+        F.size(F.filter("words", lambda w: F.char_length(w) <= SHORT)).cast("long").alias("n_short"),
+        F.size(F.filter("words", lambda w: F.instr(F.lit(SYMBOLS), F.substring(w, -1, 1)) > 0)).cast("long").alias("n_marked"),
     )
 
 
@@ -104,52 +109,61 @@ def rules() -> dict[str, Column]:
     """The votes, by rule. Between its two thresholds a rule abstains."""
     n, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("word_chars"), F.lit(1))
     per_word = F.col("word_chars") / n
+    plain = 1 - (F.col("n_symbols") + F.col("n_stops") + F.col("n_commas") + F.col("n_shouts")) / chars
+
+    def share(column: str) -> Column:
+        return F.col(column) / n
+
+    def outside(x: Column, low: float, high: float) -> Column:
+        return (x < low) | (x > high)
+
     return {
-        "length": vote(F.col("n_words") < 20, F.col("n_words") >= 60),
-        "symbols": vote(F.col("n_symbols") > 0.1 * n, F.col("n_symbols") <= 0.01 * n),
-        "word_length": vote((per_word < 2.5) | (per_word > 12), (per_word >= 3.5) & (per_word <= 9)),
-        "lines": vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines"), F.col("n_dup_lines") == 0),
-        "repeats": vote(F.col("n_repeat_words") > 0.3 * n, F.col("n_repeat_words") <= 0.05 * n),
-        "stops": vote((F.col("n_stops") > 0.5 * n) | (F.col("n_stops") == 0), (F.col("n_stops") >= 0.02 * n) & (F.col("n_stops") <= 0.3 * n)),
-        "shouts": vote(F.col("n_shouts") > 0.2 * n, F.col("n_shouts") <= 0.02 * n),
-        "variety": vote((F.col("n_words") >= 50) & (F.col("n_distinct") < 0.2 * n), F.col("n_distinct") >= 0.35 * n),
+        "length": vote(F.col("n_words") < 100, F.col("n_words") >= 200),
+        "symbols": vote(share("n_symbols") > 0.1, share("n_symbols") <= 0.01),
+        "marked_words": vote(share("n_marked") > 0.1, share("n_marked") <= 0.01),
+        "letters": vote(plain < 0.9, plain >= 0.95),
+        "word_length": vote(outside(per_word, 4.2, 6.5), per_word.between(4.6, 5.6)),
+        "short_words": vote(share("n_short") < 0.2, share("n_short") >= 0.25),
+        "stops": vote(outside(share("n_stops"), 0.03, 0.25), share("n_stops").between(0.05, 0.15)),
+        "commas": vote(outside(share("n_commas"), 0.02, 0.15), share("n_commas").between(0.03, 0.1)),
+        "lines": vote(F.col("n_dup_lines") > 0.1 * F.col("n_lines"), F.col("n_dup_lines") == 0),
+        "repeats": vote(share("n_repeat_words") > 0.05, share("n_repeat_words") <= 0.01),
     }
 
 
 def estimate(counts: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS) -> dict[tuple[int, ...], float]:
     """Posterior of each pattern after expectation-maximisation.
 
-    It begins where all-must-pass filtering ends: a pattern with a vote against is bad with probability 0.95, any other
-    good. For each rule and class the model has the chance that a vote is right; abstaining says nothing. Where one rule
-    alone parts the documents, counts can't tell which class it errs in, so beliefs are added to them: a rule is seldom
-    wrong about good documents (`WRONG`), and most are good (`GOOD`), with the weight of `BELIEF` times all documents. So a rule that praises every document weighs nothing, and one that is alone with its votes against loses
-    its weight unless they part the documents well.
+    It begins with the majority of the votes, sigmoid(votes for - votes against), which also says which class is the good
+    one. For each rule and class the model has the chance of a vote for, given that the rule doesn't abstain; so a rule that
+    votes alike in both classes weighs nothing, and one that is wrong more often than right counts the other way round.
     """
     if not counts:
         return {}
     votes = range(len(counts[0][0]))
-    posterior = {p: 0.05 if -1 in p else 0.95 for p, _ in counts}
+    posterior = {p: 1 / (1 + math.exp(-sum(p))) for p, _ in counts}
     total = sum(n for _, n in counts)
     for _ in range(rounds):
-        prior = (sum(n * posterior[p] for p, n in counts) + GOOD * BELIEF * total + 1) / ((1 + BELIEF) * total + 2)
-        likely = []
+        prior = (sum(n * posterior[p] for p, n in counts) + ADDED) / (total + 2 * ADDED)
+        weights = []
         for j in votes:
-            own = {1: {-1: 1 + WRONG * BELIEF * total, 1: 1 + (1 - WRONG) * BELIEF * total}, 0: {-1: 1.0, 1: 1.0}}
+            own = {c: {-1: ADDED, 1: ADDED} for c in (0, 1)}
             for p, n in counts:
                 if p[j]:
                     own[1][p[j]] += n * posterior[p]
                     own[0][p[j]] += n * (1 - posterior[p])
-            likely.append({c: {v: x / sum(own[c].values()) for v, x in own[c].items()} | {0: 1.0} for c in (0, 1)})
-        for p, _ in counts:
-            good, bad = math.log(prior), math.log(1 - prior)
-            for j in votes:
-                good += math.log(likely[j][1][p[j]])
-                bad += math.log(likely[j][0][p[j]])
-            posterior[p] = 1 / (1 + math.exp(min(700.0, max(-700.0, bad - good))))
+            chance = {c: {v: x / sum(own[c].values()) for v, x in own[c].items()} for c in own}
+            weights.append({v: math.log(chance[1][v] / chance[0][v]) for v in (-1, 1)} | {0: 0.0})
+        odds = {p: math.log(prior / (1 - prior)) + sum(weights[j][p[j]] for j in votes) for p, _ in counts}
+        new = {p: 1 / (1 + math.exp(-min(700.0, max(-700.0, x)))) for p, x in odds.items()}
+        change = max(abs(new[p] - posterior[p]) for p in new)
+        posterior = new
+        if change < SETTLED:
+            break
     return posterior
 
 
-def judge_quality(docs: DataFrame, key: str = "doc_id", threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:
+def judge_quality(docs: DataFrame, key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
     """Measures, base_failed, the posterior of quality and kept for every document.
 
     The measures, a few numbers per document, are written to the shared folder once and read for the counts of patterns

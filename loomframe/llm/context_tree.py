@@ -6,14 +6,16 @@ half with the product of its children, so that all depths contribute by how well
 probability is the product over its bytes, and an end sign, of the mixed predictions of the trained tree.
 
 The tree of a corpus is far too large for one machine, so it is never in one place. Counts of (context, byte) grams are
-pre-aggregated, packed and merged in buckets by the two latest context bytes; the nodes of depths 0 and 1, at most
+pre-aggregated, packed and merged in buckets by the two latest context bytes, at most `MERGED` parcels at a time in as many
+rounds as that takes, so that no task holds more than `MERGED` times what is distinct in a bucket; the nodes of depths 0 and 1, at most
 256 * 255 + 255, are summed up and given to every task. Blocks of documents ask the buckets for the predictions of the
-distinct grams that they contain and get one number back for each. Word counts of the unigram base are kept and asked for
+distinct grams that they contain and get one number back for each. The questions to one bucket are dealt out to as many
+copies of it as keep both sides alike in size, so that a frequent context is no hot task either. Word counts of the unigram base are kept and asked for
 in the same manner, by hash. What is gathered grows with the corpus; what is broadcast does not.
 
 Defined cases: a null text is empty and scores its end sign; training rows are given by a column; with no training rows
 every bit has probability one half; repeated rows count and are scored each for itself; words are told apart by 64-bit
-hashes; other columns aren't read.
+hashes; very long texts lie in one block; ties don't arise; other columns aren't read.
 """
 
 from __future__ import annotations
@@ -29,9 +31,13 @@ from .common import byte_view, lowered, mixed, parallelism, pieces_of, stored, w
 from .shared_windows import by_bucket, deltas, packed, unpacked
 
 _U = np.uint64
-DEPTH = 5
+DEPTH = 6
 #: Bytes of text in a block and in a counting step.
 BLOCK_BYTES = 8 << 20
+#: Parcels that one task merges.
+MERGED = 32
+#: Predictions travel as whole units of 1e-10 of a decimal digit, so that a text of 100,000 bytes errs by 5e-6 at most.
+UNIT = 1e-10
 #: Stands before and after each text; UTF-8 has no such byte.
 EDGE = 0xFF
 END_WORD = mixed(np.array([0x656E64], _U))[0]
@@ -185,6 +191,9 @@ def predictions(key: np.ndarray, count: np.ndarray, top: np.ndarray) -> np.ndarr
     return out
 
 
+MODEL = "bucket int, blob binary, tokens long, kinds long"
+
+
 def score_texts(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFrame:
     """key, n_tokens, n_known, train_tokens, base_score, score, n_coded (bytes and end) and bits_per_byte of every row."""
     spark = docs.sparkSession
@@ -209,9 +218,17 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFram
         return pa.table({"bucket": table.column("bucket").slice(0, 1).cast(pa.int32()), "blob": pa.array([packed(deltas(keys), n)], pa.binary()), "tokens": [int(n.sum())], "kinds": [len(n)]})
 
     trained = docs.filter(train).select(text.alias("text")).mapInArrow(count, "bucket int, blob binary")
-    model = stored(trained.groupBy("bucket").applyInArrow(merge, "bucket int, blob binary, tokens long, kinds long"), "context-tree")
+    parcels = max(blocks, 0)
+    while parcels > MERGED:
+        parcels = -(-parcels // MERGED)
+        share = F.pmod(F.xxhash64("blob"), F.lit(parcels))
+        trained = trained.groupBy("bucket", share).applyInArrow(merge, MODEL).select("bucket", "blob")
+    model = stored(trained.groupBy("bucket").applyInArrow(merge, MODEL), "context-tree")
     sums = model.filter(F.col("bucket") >= buckets).agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0)).alias("v")).first()
     n_train, v_train = int(sums["n"]), int(sums["v"])
+    # A question takes a block's distinct grams, fewer than its bytes; copies of the tree together take no more than all questions.
+    known = model.filter(F.col("bucket") < buckets).agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("n")).first()["n"]
+    copies = max(1, min(blocks // MERGED, size // (4 * known + 1)))
 
     def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,8 +264,7 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFram
         known = [unpacked(b) for b in right.column("blob").to_pylist()]
         keys, n = merged([np.cumsum(k[0]) for k in known] + asked, [k[1].astype(np.int64) for k in known] + [np.zeros(len(a), np.int64) for a in asked])
         told = predictions(keys, n.astype(np.float64), top).astype(np.float64) if bucket < buckets else n
-        # Probabilities travel as millionths of a digit; their error stays below the last place of a text's printed score.
-        told = np.rint(-told * 1e7).astype("u4") if bucket < buckets else told.astype("u4" if n_train < 1 << 32 else "u8")
+        told = np.rint(-told / UNIT).astype("u8") if bucket < buckets else told.astype("u4" if n_train < 1 << 32 else "u8")
         return pa.table({"block": left.column("block"), "bucket": left.column("bucket"), "blob": pa.array([packed(told[np.searchsorted(keys, a)]) for a in asked], pa.binary())})
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -269,11 +285,13 @@ def score_texts(docs: DataFrame, train: Column, key: str = "doc_id") -> DataFram
                 base = np.log10((value + 0.5) / (n_train + 0.5 * (v_train + 1)))
                 out |= {"n_tokens": np.diff(offsets), "n_known": np.add.reduceat((value > 0)[of].astype(np.int64), row), "base_score": np.add.reduceat(base[of], row)}
             else:
-                out |= {"score": np.add.reduceat(value[of] * -1e-7, row), "n_coded": np.diff(offsets)}
+                out |= {"score": np.add.reduceat(value[of], row) * -UNIT, "n_coded": np.diff(offsets)}
         return pa.table({"key": left.column("key"), **{n: pa.array(out[n]) for n in names[1:]}})
 
     asked = body.groupBy("block").applyInArrow(ask, "bucket int, block int, blob binary")
-    replies = asked.groupBy("bucket").cogroup(model.select("bucket", "blob").groupBy("bucket")).applyInArrow(answer, "block int, bucket int, blob binary")
+    asked = asked.withColumn("copy", F.pmod(F.col("block"), F.lit(copies)))
+    copied = model.select("bucket", "blob", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"))
+    replies = asked.groupBy("bucket", "copy").cogroup(copied.groupBy("bucket", "copy")).applyInArrow(answer, "block int, bucket int, blob binary")
     out = body.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(finish, f"key {kind}, n_tokens long, n_known long, base_score double, score double, n_coded long")
     bits = -F.col("score") / F.lit(np.log10(2)) / F.col("n_coded")
     return out.select(F.col("key").alias(key), "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score", "n_coded", bits.alias("bits_per_byte"))

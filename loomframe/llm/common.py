@@ -240,9 +240,29 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of a word that count as one symbol, and the most symbols that are taken one after another.
+CHUNK, CHUNKS = 7, 8
+_WORD_BASE = _U(0x13A7C9E2D45B8F61)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hashes of the given byte ranges, modulo 2**61 - 1 and spread over 64 bits."""
-    return PrimeRolling(BYTE_CODES[data], 0x13A7C9E2D45B8F61).of(starts, ends)
+    """Hashes of the given byte ranges, modulo 2**61 - 1 and spread over 64 bits: polynomials over the length and symbols of
+    seven bytes, or, for the few longer than `CHUNKS` of these, over bytes."""
+    size = ends - starts
+    wide = np.concatenate([data, np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(data) + 1, "<u8", wide, strides=(1,))
+    h = size.astype(_U)
+    for k in range(CHUNKS):
+        at = np.flatnonzero(size > CHUNK * k) if k else np.s_[:]
+        left = size[at] - CHUNK * k
+        if not len(left):
+            break
+        symbol = eight[starts[at] + CHUNK * k] & ((_U(1) << (_U(8) * np.minimum(left, CHUNK).astype(_U))) - _U(1))
+        h[at] = _reduced(times(h[at], _WORD_BASE) + symbol)
+    for i in np.flatnonzero(size > CHUNK * CHUNKS).tolist():
+        own = PrimeRolling(BYTE_CODES[data[starts[i] : ends[i]]], int(_WORD_BASE))
+        h[i] = own.of(np.array([0]), size[i : i + 1])[0] & _P
+    return mixed(h)
 
 
 def within(offsets: np.ndarray) -> np.ndarray:

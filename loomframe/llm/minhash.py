@@ -10,8 +10,8 @@ ids may be null or repeat. A band's bucket first yields the pairs with its small
 and link groups of copies in time linear in their size. Buckets whose members still lie in several components are then
 searched, each for itself: the members outside the bucket's largest component are the queries, and in blocks of bounded
 size they are compared with all members of other components. A first pass over sketches of one byte a value (two sets of
-similarity 0.8 agree in fewer than `SKETCH` of 160 with probability below 1e-8) tells the members that may have a partner;
-only their full sets go to the second pass, from which one link for each query and component comes out. So every bucket
+similarity 0.8 agree in fewer than `SKETCH` of 160 with probability below 1e-8) tells the members that may have a partner,
+where a pair is looked at in the first bucket that it shares and in no other; only their full sets go to the second pass, from which one link for each query and component comes out. So every bucket
 pair is linked already, or compared; none is dropped or capped, and pairs are never written out.
 
 Defined cases: a null or empty text has no shingles and is linked with nothing; with fewer words than a shingle the whole
@@ -166,46 +166,54 @@ def block_tasks(placed: DataFrame) -> DataFrame:
     return rows.select("bucket", "class", "n", "label", "query", "data_block", F.explode("queries").alias("query_block"))
 
 
-def near(label: np.ndarray, n: np.ndarray, marks: np.ndarray, data: np.ndarray, q: int, percent: int) -> np.ndarray:
-    """The data of other components that may be similar to q, by size and sketch."""
-    found = data[(label[data] != label[q]) & (100 * np.minimum(n[data], n[q]) >= percent * np.maximum(n[data], n[q]))]
-    return found[(marks[found] == marks[q]).sum(axis=1) >= SKETCH]
+class Block:
+    """The rows of one task: members of a bucket, some of them queries."""
 
+    def __init__(self, table: pa.Table):
+        self.table = table.combine_chunks()
+        self.bucket = self.table.column("bucket")[0].as_py()
+        query = self.table.column("query").to_numpy(zero_copy_only=False)
+        self.data, self.queries = np.flatnonzero(~query), np.flatnonzero(query)
+        self.marks = np.frombuffer(b"".join(self.table.column("sketch").to_pylist()), np.uint8).reshape(len(query), -1)
+        self.bands = self.table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(query), -1)
+        self.label, self.n = self.table.column("label").to_numpy(), self.table.column("n").to_numpy()
 
-def block_columns(table: pa.Table) -> tuple[np.ndarray, ...]:
-    query = table.column("query").to_numpy(zero_copy_only=False)
-    marks = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(table.num_rows, -1)
-    return table.column("label").to_numpy(), table.column("n").to_numpy(), marks, np.flatnonzero(~query), np.flatnonzero(query)
+    def near(self, q: int, percent: int) -> np.ndarray:
+        """The data of other components that may be similar to q, by size and sketch, and share no earlier bucket with it."""
+        label, n, data = self.label, self.n, self.data
+        found = data[(label[data] != label[q]) & (100 * np.minimum(n[data], n[q]) >= percent * np.maximum(n[data], n[q]))]
+        found = found[(self.marks[found] == self.marks[q]).sum(axis=1) >= SKETCH]
+        first = (self.bands[found] == self.bands[q]).argmax(axis=1)
+        return found[self.bands[q][first] == self.bucket]
 
 
 def hopeful(tasks: DataFrame, percent: int) -> DataFrame:
-    """The rows of tasks (with sketch) that may have a partner in their block."""
+    """The rows of tasks (with sketch and bands) that may have a partner in their block."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        label, n, marks, data, queries = block_columns(table)
+        block = Block(table)
         use = np.zeros(table.num_rows, bool)
-        for q in queries.tolist():
-            found = near(label, n, marks, data, q, percent)
+        for q in block.queries.tolist():
+            found = block.near(q, percent)
             use[found] = True
             use[q] = len(found) > 0
-        return table.filter(pa.array(use))
+        return block.table.filter(pa.array(use))
 
     return tasks.groupBy(*TASK).applyInArrow(run, tasks.schema)
 
 
 def block_links(tasks: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (label, label) between components; tasks have sketch and shingles."""
+    """Confirmed links (label, label) between components; tasks have sketch, bands and shingles."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        label, n, marks, data, queries = block_columns(table)
-        every, dense = np.unique(np.frombuffer(b"".join(table.column("shingles").to_pylist()), _U), return_inverse=True)
+        block = Block(table)
+        label, n = block.label, block.n
+        every, dense = np.unique(np.frombuffer(b"".join(block.table.column("shingles").to_pylist()), _U), return_inverse=True)
         at = np.cumsum(n) - n
         held = np.zeros(len(every), bool)
         found: set[tuple[int, int]] = set()
-        for q in queries.tolist():
-            close = near(label, n, marks, data, q, percent)
+        for q in block.queries.tolist():
+            close = block.near(q, percent)
             if not len(close):
                 continue
             own = dense[at[q] : at[q] + n[q]]
@@ -247,15 +255,16 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str) -> DataFrame:
     placed = members.select("bucket", "class", "n").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     placed = stored(placed, "placed")
     tasks = stored(block_tasks(placed), "tasks")
-    able = stored(hopeful(tasks.join(classes.select("class", "sketch"), "class"), percent), "hopeful")
+    able = stored(hopeful(tasks.join(classes.select("class", "sketch", "bands"), "class"), percent), "hopeful")
     further = stored(block_links(able.join(sets, "class"), percent).distinct(), "links")
     joined = components(further).select(F.col("id").alias("label"), F.col("label").alias("whole"))
     label = F.coalesce("label", "class")
     named = classes.select("class", *same, "head").join(labels, "class", "left").select(*same, "head", label.alias("label"))
     named = named.join(joined, "label", "left").select(*same, "head", F.coalesce("whole", "label").alias("whole"))
-    least = named.groupBy("whole").agg(F.min("head").alias("least"))
+    named = stored(named, "named")
+    least = stored(named.groupBy("whole").agg(F.min("head").alias("least")), "least")
     owner = stored(named.select(*same, "whole").join(least, "whole").select(*same, "least"), "owner")
-    drop_stored(members, sets, links, labels, placed, tasks, able, further)
+    drop_stored(members, sets, links, labels, placed, tasks, able, further, named, least)
     return signed.select("id", "digest", *same).join(owner, same, "left").select("id", "digest", "n", "least")
 
 

@@ -439,3 +439,191 @@ def test_attention_trains_on_every_passage(spark, monkeypatch):
     df = spark.createDataFrame([(i, prose(n, 130 + i)) for i, n in enumerate(lengths)], "doc_id long, text string")
     attention_mil.train(df, df.select("doc_id", F.lit(1).alias("quality")), F.lit(True))
     assert seen == [[-(-n // attention_mil.PASSAGE) for n in lengths]]
+
+
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    """Two texts of one id, and two texts without an id that touch the same buckets, keep all their links."""
+    a, b, c = prose(200, 140).split(), prose(200, 141).split(), prose(200, 142).split()
+    near = lambda w, k: " ".join([*w[:k], "CHANGED", *w[k + 1 :]])
+    rows_ = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 9)), (3, near(b, 9)), (None, " ".join(c)), (None, near(c, 5)), (7, near(c, 50)), (8, prose(50, 143)), (8, prose(50, 143)), (9, None), (9, None)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string").withColumn("id", F.lit("x")).withColumn("digest", F.lit("y"))
+    got = Counter((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(df, 2).collect())
+    assert got == Counter([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (None, None, True), (7, None, False), (8, 8, True), (8, 8, True), (9, 9, True), (9, 9, True)])
+    kept = minhash.one_of_each(df, 2)
+    assert kept.columns == df.columns
+    left = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    assert left[8, prose(50, 143)] == 1 and left[9, None] == 2 and sum(left.values()) == 6 and {d for d, _ in left} == {1, None, 8, 9}
+    with pytest.raises(ValueError):
+        minhash.near_duplicates(df.withColumn("doc_id", F.lit("a")), 2)
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    from loomframe.llm import common, shared_windows
+
+    bits = np.array([bin(i).count("1") % 2 for i in range(2048)])
+    data = np.where(np.concatenate([bits, 1 - bits]) > 0, 0x61, 0x62).astype(np.uint8)
+    starts, ends = np.array([0, 2048]), np.array([2048, 4096])
+    weak = common.Rolling(common.BYTE_CODES[data]).of(starts, ends)
+    assert weak[0] == weak[1]  # why such hashes only route
+    strong = common.word_hashes(data, starts, ends)
+    assert strong[0] != strong[1]
+    first, which = shared_windows.content_classes(weak, data, starts, ends - starts)
+    assert which.tolist() == [0, 1] and first.tolist() == [0, 1]
+    short = [b"a", b"a\0", b"abcdefg", b"abcdefgh", b"x" * 56, b"x" * 57, b"abcdefg", b"x" * 57]
+    data = np.frombuffer(b" ".join(short), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in short]) - 1
+    own = common.word_hashes(data, ends - [len(w) for w in short], ends)
+    assert len(set(own.tolist())) == 6 and own[6] == own[2] and own[7] == own[5]
+    a, b = (np.random.default_rng(i).integers(0, common.PRIME, 100, dtype=np.uint64) for i in (1, 2))
+    assert [int(x) for x in common.times(a, b)] == [int(x) * int(y) % common.PRIME for x, y in zip(a, b)]
+
+
+def test_substring_dedup_of_thue_morse_words(spark):
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    one, two = ("".join("ab"[x ^ y] for x in bits) for y in (0, 1))
+    rest = prose(20, 150)
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.remove_passages(spark.createDataFrame([(1, f"{one} {rest}"), (2, f"{two} {rest}")], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 20}
+
+
+def test_passages_keep_clashing_columns_out(spark):
+    df = spark.createDataFrame([(1, prose(40, 151), "a", 2), (2, prose(40, 151), "b", 3)], "doc_id long, text string, kept string, n_removed int")
+    for remove in (suffix_dedup.remove_repeats, substring_dedup.remove_passages):
+        out = remove(df)
+        assert len(set(out.columns)) == len(out.columns) and {r["doc_id"]: r["n_removed"] > 0 for r in out.collect()} == {1: False, 2: True}
+    assert {r["row"]["kept"] for r in suffix_dedup.repeats(df).collect()} == {"a", "b"}
+
+
+def test_estimate_is_expectation_maximisation():
+    """Against a version that goes over documents one by one, with rules in conflict and one that is mostly wrong."""
+    rng = np.random.default_rng(14)
+    right = [0.95, 0.9, 0.85, 0.8, 0.8, 0.15, 0.5]
+    truth = rng.random(4000) < 0.75
+    votes = np.stack([np.where(rng.random(4000) < 0.25, 0, np.where((rng.random(4000) < a) == truth, 1, -1)) for a in right], 1)
+    posterior = quality_rules.estimate(sorted(Counter(map(tuple, votes.tolist())).items()))
+    own = 1 / (1 + np.exp(-votes.sum(1).astype(float)))
+    for _ in range(quality_rules.ROUNDS):
+        prior = (own.sum() + 2) / (4000 + 4)
+        odds = np.full(4000, math.log(prior / (1 - prior)))
+        for j in range(len(right)):
+            chance = [((w * (votes[:, j] == 1)).sum() + 2) / ((w * (votes[:, j] != 0)).sum() + 4) for w in (own, 1 - own)]
+            odds += np.where(votes[:, j] == 1, math.log(chance[0] / chance[1]), np.where(votes[:, j] == -1, math.log((1 - chance[0]) / (1 - chance[1])), 0))
+        own = 1 / (1 + np.exp(-odds))
+    got = np.array([posterior[tuple(v)] for v in votes.tolist()])
+    assert np.abs(got - own).max() < 1e-6
+    accuracy, majority = ((x > 0.5) == truth for x in (got, 1 / (1 + np.exp(-votes.sum(1)))))
+    assert accuracy.mean() > 0.95 and accuracy.mean() > majority.mean()
+    against = [i for i, v in enumerate(votes) if -1 in v]
+    assert (got[against] > 0.5).mean() > 0.5  # one vote against doesn't reject
+    assert quality_rules.estimate([]) == {}
+
+
+def test_decontamination_of_null_and_repeated_rows(spark):
+    one, two, three = prose(30, 160), prose(30, 161), prose(30, 162)
+    benchmark = spark.createDataFrame([(None, one), (5, two), (5, three), (5, three)], "item_id long, text string")
+    wrap = lambda t, i: f"{prose(9, 163 + i)} {t} {prose(9, 173 + i)}"
+    texts = [(1, wrap(one, 0)), (2, wrap(two, 1)), (3, wrap(three, 2)), (3, wrap(three, 2)), (3, wrap(three, 2)), (None, wrap(two, 3)), (4, prose(50, 190))]
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("id", F.lit(1)).withColumn("number", F.lit(1))
+    got = Counter((r["doc_id"], r["items"], r["coverage"]) for r in decontaminate.decontaminate(df, benchmark).collect())
+    assert got == Counter([(1, "null", 1.0), (2, "5", 1.0), *[(3, "5", 1.0)] * 3, (None, "5", 1.0)])
+    assert [r["doc_id"] for r in decontaminate.without_contaminated(df, benchmark).collect()] == [4]
+
+
+def test_decontamination_is_the_definition(spark):
+    """Lower-case prose has no slots, so that coverage is the share of an item's 8-word windows found on any place."""
+    items = [(i, prose(20 + i, 200 + i)) for i in range(6)]
+    texts = []
+    for d in range(30):
+        parts = prose(40, 230 + d).split()
+        own = items[d % 6][1].split()
+        at, n = int(RNG.integers(0, 8)), int(RNG.integers(8, 22))
+        texts.append((d, " ".join(parts[:20] + own[at : at + n] + parts[20:])))
+    want = {}
+    for d, t in texts:
+        w = t.split()
+        windows = {tuple(w[i : i + 8]) for i in range(len(w) - 7)}
+        cover = {i: np.mean([tuple(x.split()[k : k + 8]) in windows for k in range(len(x.split()) - 7)]) for i, x in items}
+        best = max(cover.values())
+        if best >= decontaminate.COVERAGE:
+            want[d] = (",".join(str(i) for i in sorted(cover) if cover[i] >= decontaminate.COVERAGE), best)
+    frames = (spark.createDataFrame(x, f"{k} long, text string") for x, k in ((texts, "doc_id"), (items, "item_id")))
+    got = {r["doc_id"]: (r["items"], pytest.approx(r["coverage"])) for r in decontaminate.decontaminate(*frames).collect()}
+    assert len(want) > 10 and got == want
+
+
+def test_url_rules_beyond_one_array(spark):
+    rules = [(f"h{i % 50}.example", f"/p{i}", "block" if i % 2 else "allow") for i in range(400)]
+    urls = [f"http://www.h{i % 60}.example/p{i}/x?y" for i in range(300)] + [None, "", "http://h1.example/p1", "http://h1.example/p1", "http://h1.example/" + "p" * 100_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    frame = spark.createDataFrame(rules, "host string, prefix string, verdict string")
+    want = sorted(map(str, url_filter.filter_urls(df, rules).collect()))
+    for own in (rules, frame):
+        assert sorted(map(str, url_filter.filter_urls(df, own, max_rules=64).collect())) == want
+    assert sorted(map(str, url_filter.filter_urls(df, frame).collect())) == want
+    twice = df.unionAll(df)
+    assert url_filter.filter_urls(twice, rules, max_rules=64).count() == 2 * len(urls)
+
+
+def test_license_texts():
+    texts = {
+        "Licensed under MIT": "mit", "GPL v3": "gpl", "CC0 1.0 Universal": "cc0", "SPDX-License-Identifier: CC-BY-4.0": "cc-by", "released under the Unlicense": "unlicense",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:": "bsd",
+        "You may not use this file except in compliance with the License.": "apache", "The origin of this software must not be misrepresented": "zlib", "This is free and unencumbered software released into the public domain.": "unlicense",
+    }
+    for text, label in texts.items():
+        assert license_scan.scan(text.encode())[5] == label, text
+
+
+def test_license_suppression_is_the_rule():
+    """Against the rule taken literally: by priority, length and place, no place inside a kept one or over a higher one."""
+    rng = np.random.default_rng(31)
+    parts = ["released under the mit license", "gpl v3", "licensed under the apache license version 2 0", "mit", "gnu general public license", "all rights reserved", "licensed under cc by nc 4 0", "copyright 2020", "license"]
+    for _ in range(60):
+        text = " ".join(rng.choice(parts, 12))
+        found = [(r.priority, m.end() - m.start(), -m.start(), -i, r, m) for i, r in enumerate(license_scan.rules()) if r.keyword in text for m in r.pattern.finditer(text)]
+        kept = []
+        for priority, _, _, _, r, m in sorted(found, key=lambda x: x[:4], reverse=True):
+            s, e = m.span()
+            if not any((a <= s and e <= b and k.priority == priority) or (s < b and a < e and priority < k.priority) for a, b, k in kept):
+                kept.append((s, e, r))
+        assert license_scan.detect(text) == sorted(kept, key=lambda x: x[:2])
+    long = b"Released under the MIT License. " * 20_000
+    n, base, first, last, *_ = license_scan.scan(long)
+    assert (n, base, first, last) == (100_000, 20_000, 3, 99_998)
+
+
+def test_attention_is_the_definition():
+    """The forward pass against sums written out passage by passage."""
+    rng = np.random.default_rng(5)
+    x, bag = rng.normal(size=(7, attention_mil.FEATURES)), np.array([0, 1, 4, 7])
+    m = attention_mil.Model(0, 1)
+    w, b, v, u, g, o, c = m.w
+    want = []
+    for i in range(3):
+        hidden = [np.tanh(row @ w + b) for row in x[bag[i] : bag[i + 1]]]
+        energy = [math.exp(sum(g[k] * math.tanh(h @ v[:, k]) / (1 + math.exp(-(h @ u[:, k]))) for k in range(len(g)))) for h in hidden]
+        z = sum(e / sum(energy) * h for e, h in zip(energy, hidden))
+        want.append(1 / (1 + math.exp(-(z @ o + c[0]))))
+    assert m.forward(x, bag)[0] == pytest.approx(want)
+
+
+def test_attention_learns_words(spark):
+    """Labels that no count of characters gives away: bad texts use other words of the same letters."""
+    vocabulary = np.array(WORDS)
+    text = lambda own, n, seed: " ".join(np.random.default_rng(seed).choice(own, n))
+    rows_ = [(i, text(vocabulary[:150] if i % 3 else vocabulary[150:], 40 + 97 * i % 400, 400 + i)) for i in range(360)] + [(5000, prose(20_000, 7))]
+    df = spark.createDataFrame(rows_, "doc_id long, text string")
+    labels = spark.createDataFrame([(d, int(d % 3 > 0)) for d, _ in rows_[:-1]] + [(1, 0)], "doc_id long, quality int")
+    model = attention_mil.train(df, labels, F.col("doc_id") % 5 != 0)
+    own = {r["doc_id"]: r["_score"] for r in attention_mil.score(df, model).collect()}
+    assert np.mean([(own[d] >= 0.5) == (d % 3 > 0) for d, _ in rows_[:-1] if d % 5 == 0]) > 0.9
+    with pytest.raises(ValueError):
+        attention_mil.score(df.withColumn("_score", F.lit(0)), model)
+
+
+def test_packing_deals_out_rows_without_an_id(spark):
+    df = spark.createDataFrame([(None, prose(30, 300 + i)) for i in range(200)], "doc_id long, text string")
+    pieces = packing.token_pieces(df)
+    packed_ = packing.pack(pieces, 8).collect()
+    assert len(packed_) == 200 and len({r["sequence_id"] % 8 for r in packed_}) == 8

@@ -62,3 +62,37 @@ def test_stages(spark, corpus, tmp_path):
     assert sorted(tuple(r[f] for f in fields) for r in again.collect()) == sorted(tuple(r[f] for f in fields) for r in docs.collect())
     used = docs.agg(F.countDistinct("sequence_id").alias("n"), F.sum("length").alias("t")).first()
     assert used["n"] <= math.ceil(used["t"] / 4096) + 2
+
+
+def test_stages_with_awkward_rows_and_columns(spark, corpus):
+    """Nulls in any column, empty and very long texts, ties, repeated rows and columns named like those used inside."""
+    folder, texts, passage = corpus
+    long = prose(20_000, 9000)
+    rows = [(None, texts[1]), (1, texts[1]), (1, texts[1]), (2, None), (2, None), (3, ""), (4, long), (5, f"{long} {prose(20, 9001)}"), (700, texts[700]), (700, texts[700]), (701, None)]
+    docs = spark.createDataFrame([(d, t, None, None, None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    names = ["kept", "removed", "n_removed", "_symbols", "symbols", "row", "_row", "_key", "key", "_score", "score", "_id", "id", "digest", "label", "again", "h", "item", "class", "bucket"]
+    docs = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)}).cache()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        empty = stage(spark, docs.limit(0), folder)
+        assert empty.count() == 0, name
+        got = out.collect()
+        if name == "best_fit_packing":
+            assert sum(r["piece"] == 0 for r in got) == len(rows)
+            continue
+        assert out.columns == docs.columns == empty.columns, name
+        assert all(r[n] == i for r in got for i, n in enumerate(names)), name
+        ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got)
+        count = {d: sum(x == (d is not None, d or 0) for x in ids) for d in (None, 1, 2, 3, 4, 5, 700, 701)}
+        want = {None: 1, 1: 2, 2: 2, 3: 1, 4: 1, 5: 1, 700: 2, 701: 1}
+        if name == "minhash_near_dedup":
+            want |= {1: 0, 5: 0, 700: 1}
+        elif name == "benchmark_decontamination":
+            want[700] = 0
+        if name != "quality_classifier":
+            assert count == want, name
+        else:
+            assert all(count[d] in (0, want[d]) for d in want) and count[None] == 1 and count[1] == 2
+        if name == "suffix_array_dedup":
+            assert all(r["text"] is None for r in got if r["doc_id"] in (2, 701))
+            assert all(r["text"] == "" and r["n_chars"] == 0 for r in got if r["doc_id"] == 1)

@@ -86,7 +86,7 @@ def test_configurations(spark, tmp_path):
     assert sorted((r["chain_id"], r["idx"]) for r in text.read_configurations(spark, str(tmp_path / "c"), 3).collect()) == [(0, 0), (1, 1), (2, 0)]
 
 
-def test_lazy_graph():
+def test_nodes():
     calls = []
     a, b = Root(1), Root(2)
     c = Node(lambda x, y: calls.append(1) or x + y, a, b)

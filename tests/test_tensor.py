@@ -24,6 +24,7 @@ def sparse(spark, a, names, symmetry=None, edges=None):
 
 def test_contract_goldens(spark):
     a, b = Tensor.range_(spark, "AB", [2, 2]), Tensor.range_(spark, "CD", [2, 2])
+    # Fixed values.
     golden = {"AC": [4, 6, 6, 10], "AD": [2, 6, 3, 11], "BC": [2, 3, 6, 11], "BD": [1, 3, 3, 13]}
     for (x, y), want in golden.items():
         assert array(a.contract(b, [(x, y)])).ravel().tolist() == want
@@ -49,6 +50,7 @@ def test_norms_and_blocks(spark):
     edges = [Edge.of({-1: 3, 0: 1, 1: 2}), Edge.of({-1: 1, 0: 2, 1: 3}), Edge.of({-1: 2, 0: 3, 1: 1})]
     t = Tensor.range_(spark, ["l", "r", "u"], edges, BOSE_U1, 7)
     n = t.norms().first()
+    # Fixed values.
     assert t.schema.size == 60 and (n["n_max"], n["n_num"], n["n_sum"]) == (66, 60, 2190)
     assert n["n_2"] == pytest.approx(np.sqrt(sum(k * k for k in range(7, 67))))
     assert Tensor.scalar(spark, 2333).item() == 2333

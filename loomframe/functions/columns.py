@@ -58,6 +58,21 @@ def cmul(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Co
     return a[0] * b[0] - a[1] * b[1], a[0] * b[1] + a[1] * b[0]
 
 
+def cdiv(a: tuple[Column, Column], b: tuple[Column, Column]) -> tuple[Column, Column]:
+    """a / b; where b is zero, each component over zero, as reals have it."""
+    size = b[0] * b[0] + b[1] * b[1]
+    top = cmul(a, (b[0], -b[1]))
+    return tuple(F.when(size != 0, x / size).otherwise(over_zero(y)) for x, y in zip(top, a))
+
+
+def over_zero(x: Column) -> Column:
+    return F.when(x == 0, F.lit(float("nan"))).otherwise(F.signum(x) * float("inf"))
+
+
+def quotient(x: Column, y: Column) -> Column:
+    return F.when(y != 0, x / y).otherwise(over_zero(x))
+
+
 def soft_inverse(x: Column, r: float, a: float, largest: float) -> Column:
     """1 / (x * (1 + (cut / x) ** 6)), 0 where x <= 0."""
     cut = r * largest + a

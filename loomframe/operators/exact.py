@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from ..sources.storage import stored
 from .tensor import Tensor
@@ -22,9 +23,8 @@ def inner(a: Tensor, b: Tensor) -> float:
     """Re <a|b>, conjugating the first."""
     if not a.schema.is_complex and not b.schema.is_complex:
         return float((a * b).df.agg({"re": "sum"}).first()[0] or 0.0)
-    x = a.to_complex().zip(b.to_complex(), lambda p, q: p * q, "inner")  # re*re, im*im
-    r = x.df.agg({"re": "sum", "im": "sum"}).first()
-    return float((r["sum(re)"] or 0.0) + (r["sum(im)"] or 0.0))
+    # Re(conj(x) y) goes by components.
+    return float(a.to_complex().zip(b, lambda x, y: x * y, "inner").df.agg(F.sum(F.col("re") + F.col("im"))).first()[0] or 0.0)
 
 
 def ground_state(apply: Callable[[Tensor], Tensor], start: Tensor, steps: int) -> tuple[float, Tensor]:

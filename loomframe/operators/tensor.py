@@ -83,12 +83,16 @@ class Tensor:
         return cls.generate(spark, names, edges, symmetry)
 
     @classmethod
-    def random(cls, spark: SparkSession, names: Iterable[str], edges: Iterable[Edge | int], symmetry: Symmetry = NO, seed: int = 0, normal: bool = True, low: float = 0, high: float = 1) -> Tensor:
-        """Reproducible by seed and ordinal, whatever the partitions."""
+    def random(cls, spark: SparkSession, names: Iterable[str], edges: Iterable[Edge | int], symmetry: Symmetry = NO, seed: int = 0, normal: bool = True, low: float = 0, high: float = 1, mean: float = 0, deviation: float = 1, is_complex: bool = False) -> Tensor:
+        """Reproducible by seed and ordinal, whatever the partitions; a complex draw has both parts drawn alike."""
         uniform = lambda i, k: (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(k)), F.lit(1 << 53)) + 0.5) / float(1 << 53)
-        if normal:
-            return cls.generate(spark, names, edges, symmetry, lambda i: F.sqrt(-2 * F.log(uniform(i, 1))) * F.cos(uniform(i, 2) * 6.283185307179586))
-        return cls.generate(spark, names, edges, symmetry, lambda i: uniform(i, 1) * (high - low) + low)
+
+        def drawn(part: int) -> Callable[[Column], Column]:
+            if normal:
+                return lambda i: F.sqrt(-2 * F.log(uniform(i, 2 * part + 1))) * F.cos(uniform(i, 2 * part + 2) * 6.283185307179586) * float(deviation) + float(mean)
+            return lambda i: uniform(i, 2 * part + 1) * (high - low) + low
+
+        return cls.generate(spark, names, edges, symmetry, drawn(0), drawn(1) if is_complex else None)
 
     @classmethod
     def scalar(cls, spark: SparkSession, value: float = 1.0) -> Tensor:
@@ -259,6 +263,13 @@ class Tensor:
         values = [C.signed(C.total(exponent), F.col(v)).alias(v) if exponent else F.col(v) for v in self.values]
         return Tensor(self.df.select(*keys, *values), replace(self.schema, names=tuple(names), edges=tuple(edges)))
 
+    def edge_operator(self, split: dict[str, list[tuple[str, Edge | int]]] | None = None, reverse: Iterable[str] = (), merge: dict[str, list[str]] | None = None, order: Iterable[str] | None = None, apply_parity: bool = False, exclude_split: Iterable[str] = (), exclude_reverse: Iterable[str] = (), exclude_reverse_before_merge: Iterable[str] = (), exclude_merge: Iterable[str] = ()) -> Tensor:
+        """Splits, reverses, merges and orders edges. Each step only adds column expressions, which become one projection."""
+        t = self.split_edge(split, apply_parity, exclude_split) if split else self
+        t = t.reverse_edge(reverse, apply_parity, exclude_reverse) if reverse else t
+        t = t.merge_edge(merge, apply_parity, exclude_merge, exclude_reverse_before_merge) if merge else t
+        return t.transpose(order) if order is not None else t
+
     def clear_bose_symmetry(self) -> Tensor:
         return Tensor(self.df, replace(self.schema, symmetry=NO, edges=tuple(Edge.plain(e.dimension) for e in self.schema.edges)))
 
@@ -327,20 +338,69 @@ class Tensor:
         t = self.shrink(at, new_name=None) if self.schema.symmetry == NO else Tensor(self.df.filter(" AND ".join(f"{col(n)} = {int(i)}" for n, i in at.items())), self.schema)
         return t.df.agg(*(F.coalesce(F.first(v), F.lit(0.0)).alias(v) for v in self.values))
 
+    def with_element(self, at: dict[str, int], value: complex | float) -> Tensor:
+        """The tensor with another value of one element, which its charges must allow."""
+        if sorted(at) != sorted(self.names):
+            raise ValueError(f"an element needs an index of each of {self.names}")
+        symmetry = self.schema.symmetry
+        if symmetry != NO and symmetry.add(symmetry.zero, *(e.point_by_index(at[n])[0] for n, e in zip(self.names, self.schema.edges))) != symmetry.zero:
+            raise ValueError("the charges don't add up to zero")
+        if isinstance(value, complex) and not self.schema.is_complex:
+            raise ValueError("a real tensor has no complex element")
+        same = F.lit(True)
+        for n, i in at.items():
+            same &= F.col(col(n)) == i
+        value = complex(value)
+        row = self.df.sparkSession.range(1).select(*(F.lit(at[n]).cast("long").alias(col(n)) for n in self.names), *(F.lit(x).alias(v) for v, x in zip(self.values, (value.real, value.imag))))
+        return replace(self, df=self.df.filter(~same).select(*self.keys, *self.values).unionAll(row))
+
+    def _block(self, charges: dict[str, tuple[int, ...]]) -> tuple[Column, list[Edge], list[int]]:
+        inside, edges, first = F.lit(True), [], []
+        for n, e in zip(self.names, self.schema.edges):
+            p = e.position_by_charge(charges[n])
+            d = e.segments[p][1]
+            inside &= F.col(col(n)).between(e.starts[p], e.starts[p] + d - 1)
+            edges.append(Edge.plain(d))
+            first.append(e.starts[p])
+        return inside, edges, first
+
+    def block(self, charges: dict[str, tuple[int, ...]]) -> Tensor:
+        """The block of the given charges, by edge, as a tensor without symmetry."""
+        inside, edges, first = self._block(charges)
+        keys = [(F.col(col(n)) - a).alias(col(n)) for n, a in zip(self.names, first)]
+        return Tensor(self.df.filter(inside).select(*keys, *self.values), Schema(self.names, tuple(edges), NO, self.schema.is_complex))
+
+    def with_block(self, charges: dict[str, tuple[int, ...]], block: Tensor) -> Tensor:
+        """The tensor with another block, whose edges are matched by name."""
+        inside, edges, first = self._block(charges)
+        own = block.transpose(self.names)
+        if [e.dimension for e in own.schema.edges] != [e.dimension for e in edges]:
+            raise ValueError("the block has other dimensions")
+        own = own.to_complex() if self.schema.is_complex else own
+        keys = [(F.col(col(n)) + a).alias(col(n)) for n, a in zip(self.names, first)]
+        return replace(self, df=self.df.filter(~inside).select(*self.keys, *self.values).unionAll(own.df.select(*keys, *self.values)))
+
     def nonzero(self) -> Tensor:
         condition = F.col("re") != 0
         return replace(self, df=self.df.filter(condition | (F.col("im") != 0) if self.schema.is_complex else condition))
 
     def dense(self, spark: SparkSession) -> Tensor:
-        """All allowed elements, with the missing ones as zeros."""
+        """All allowed elements, with the missing ones as zeros; edges of open dimension can't be filled."""
+        if any(e is None for e in self.schema.edges):
+            raise ValueError(f"dimensions are open, so missing elements can't be told: {self.names}")
+        if not self.names:
+            return replace(self, df=self.df.agg(*(F.coalesce(F.sum(v), F.lit(0.0)).alias(v) for v in self.values)))
         grid = Tensor.zero(spark, self.names, self.schema.edges, self.schema.symmetry).df.select(*self.keys)
         out = grid.join(self.df, self.keys, "left").select(*self.keys, *(F.coalesce(v, F.lit(0.0)).alias(v) for v in self.values))
         return replace(self, df=out)
 
     # --- joins and aggregates
 
-    def contract(self, other: Tensor, pairs: Iterable[tuple[str, str]], fuse: Iterable[str] = ()) -> Tensor:
-        """Sums products over the pairs of edges; `fuse` names stay as common edges. Order: fuse, own free, other's free."""
+    def contract(self, other: Tensor, pairs: Iterable[tuple[str, str]], fuse: Iterable[str] = (), summed: bool = True) -> Tensor:
+        """Sums products over the pairs of edges; `fuse` names stay as common edges. Order: fuse, own free, other's free.
+
+        Without `summed` rows of one key stay apart, for a later contraction or trace, which is linear, to sum them.
+        """
         pairs, fuse = list(pairs), list(fuse)
         self._check_pairs(other, pairs, fuse)
         own_common, other_common = [a for a, _ in pairs], [b for _, b in pairs]
@@ -364,7 +424,7 @@ class Tensor:
         rows = joined.select(*keys, *(v.alias(n) for v, n in zip(values, a.values)))
         names = fuse + free1 + free2
         edges = tuple(self.schema.edge(n) for n in fuse + free1) + tuple(other.schema.edge(n) for n in free2)
-        out = rows.groupBy(*map(col, names)).agg(*(F.sum(v).alias(v) for v in a.values)) if pairs else rows
+        out = rows.groupBy(*map(col, names)).agg(*(F.sum(v).alias(v) for v in a.values)) if pairs and summed else rows
         if not names:
             out = out.select(*(F.coalesce(v, F.lit(0.0)).alias(v) for v in a.values))
         return Tensor(out, Schema(tuple(names), edges, self.schema.symmetry, a.schema.is_complex))
@@ -412,8 +472,9 @@ class Tensor:
 
     # --- element-wise
 
-    def zip(self, other: Tensor, f: Callable[[Column, Column], Column], how: str = "full") -> Tensor:
-        """f over elements of equal keys, edges matched by name; a missing element is zero."""
+    def zip(self, other: Tensor, f: Callable[[Column, Column], Column], how: str = "full", pairs: Callable | None = None) -> Tensor:
+        """f over elements of equal keys, edges matched by name; a missing element is zero. Complex elements go through
+        `pairs`, a function of two (re, im) pairs that gives one, or else through f component by component."""
         if sorted(self.names) != sorted(other.names):
             raise ValueError(f"edges differ: {self.names}, {other.names}")
         b = other.transpose(self.names)
@@ -421,30 +482,74 @@ class Tensor:
         zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
         right = b.df.select(*b.keys, *(F.col(v).alias(f"o_{v}") for v in b.values))
         joined = a.df.join(right, a.keys, how) if a.keys else a.df.crossJoin(right)
-        return Tensor(joined.select(*a.keys, *(f(zero(v), zero(f"o_{v}")).alias(v) for v in a.values)), a.schema)
+        if a.schema.is_complex and pairs is not None:
+            out = pairs((zero("re"), zero("im")), (zero("o_re"), zero("o_im")))
+        else:
+            out = [f(zero(v), zero(f"o_{v}")) for v in a.values]
+        return Tensor(joined.select(*a.keys, *(x.alias(v) for x, v in zip(out, a.values))), a.schema)
 
-    def __add__(self, other: Tensor | float) -> Tensor:
-        return self.zip(other, lambda x, y: x + y) if isinstance(other, Tensor) else replace(self, df=self.df.withColumn("re", F.col("re") + other))
+    def _for_scalar(self, value: complex | float) -> Tensor:
+        return self.to_complex() if isinstance(value, complex) else self
 
-    def __sub__(self, other: Tensor | float) -> Tensor:
+    def __add__(self, other: Tensor | complex | float) -> Tensor:
+        if isinstance(other, Tensor):
+            return self.zip(other, lambda x, y: x + y)
+        # Missing elements are zeros, to which the number is added too.
+        t = self._for_scalar(other).dense(self.df.sparkSession)
+        other = complex(other)
+        return replace(t, df=t.df.select(*t.keys, *((F.col(v) + x).alias(v) for v, x in zip(t.values, (other.real, other.imag)))))
+
+    def __sub__(self, other: Tensor | complex | float) -> Tensor:
         return self.zip(other, lambda x, y: x - y) if isinstance(other, Tensor) else self + (-other)
 
-    def __mul__(self, other: Tensor | float) -> Tensor:
-        return self.zip(other, lambda x, y: x * y, "inner") if isinstance(other, Tensor) else self.with_value(lambda v: v * other)
+    def __neg__(self) -> Tensor:
+        return self.with_value(lambda v: -v)
+
+    def __rsub__(self, other: complex | float) -> Tensor:
+        return -self + other
+
+    def __mul__(self, other: Tensor | complex | float) -> Tensor:
+        if isinstance(other, Tensor):
+            return self.zip(other, lambda x, y: x * y, "inner", C.cmul)
+        if isinstance(other, complex):
+            return self.to_complex()._paired(lambda z: C.cmul(z, (F.lit(other.real), F.lit(other.imag))))
+        return self.with_value(lambda v: v * other)
 
-    def __truediv__(self, other: Tensor | float) -> Tensor:
-        quotient = lambda x, y: F.when(y != 0, x / y).when(x == 0, F.lit(float("nan"))).otherwise(F.signum(x) * float("inf"))
-        return self.zip(other, quotient) if isinstance(other, Tensor) else self.with_value(lambda v: v / other)
+    def __truediv__(self, other: Tensor | complex | float) -> Tensor:
+        """Over a tensor, an element that both lack is 0 / 0 and stays missing."""
+        if isinstance(other, Tensor):
+            return self.zip(other, C.quotient, "full", C.cdiv)
+        return self * (1 / other)
+
+    def __rtruediv__(self, other: complex | float) -> Tensor:
+        t = self._for_scalar(other).dense(self.df.sparkSession)
+        other = complex(other)
+        if t.schema.is_complex:
+            return t._paired(lambda z: C.cdiv((F.lit(other.real), F.lit(other.imag)), z))
+        return t.with_value(lambda v: C.quotient(F.lit(other.real), v))
 
     __radd__, __rmul__ = __add__, __mul__
 
-    def map(self, f: Callable[[Column], Column]) -> Tensor:
-        return self.with_value(f)
+    def _paired(self, f: Callable[[tuple[Column, Column]], tuple[Column, Column]]) -> Tensor:
+        re, im = f((F.col("re"), F.col("im")))
+        return replace(self, df=self.df.select(*self.keys, re.alias("re"), im.alias("im")))
+
+    def map(self, f: Callable) -> Tensor:
+        """f over the stored elements: of a real tensor a function of the value, of a complex one a function of (re, im) that
+        gives such a pair."""
+        return self._paired(f) if self.schema.is_complex else self.with_value(f)
 
     def sqrt(self) -> Tensor:
+        """The square root of the modulus."""
+        if self.schema.is_complex:
+            return self._paired(lambda z: (F.sqrt(F.hypot(*z)), F.lit(0.0)))
         return self.map(lambda v: F.sqrt(F.abs(v)))
 
     def reciprocal(self) -> Tensor:
+        """1 / x, and 0 for 0."""
+        if self.schema.is_complex:
+            size = lambda z: z[0] * z[0] + z[1] * z[1]
+            return self._paired(lambda z: tuple(F.coalesce(F.try_divide(x, size(z)), F.lit(0.0)) for x in (z[0], -z[1])))
         return self.map(C.safe_reciprocal)
 
     # --- numbers
@@ -470,6 +575,19 @@ class Tensor:
         return complex(rows[0]["re"], rows[0]["im"]) if self.schema.is_complex else float(rows[0]["re"])
 
 
+def safe_contract(a: Tensor, b: Tensor, pairs: Iterable[tuple[str, str]], physics: bool = False) -> Tensor:
+    """Contracts those of the pairs of which both edges exist; with `physics` also all edges of one name beginning with P."""
+    wanted = {(x, y) for x, y in pairs if x in a.names and y in b.names}
+    if physics:
+        wanted |= {(n, n) for n in a.names if n.startswith("P") and n in b.names}
+    return a.contract(b, sorted(wanted))
+
+
+def safe_rename(t: Tensor, names: dict[str, str]) -> Tensor:
+    """Renames those of the edges that exist."""
+    return t.edge_rename({a: b for a, b in names.items() if a in t.names})
+
+
 def chain(tensors: list[Tensor], pairs: list[tuple[int, str, int, str]], size: Callable[[Tensor], float] | None = None) -> Tensor:
     """Contracts a network pair by pair, the pair with the smallest estimated result first, aggregating after each.
 

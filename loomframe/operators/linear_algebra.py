@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import columns as C
 from ..functions import ranking
@@ -99,8 +101,12 @@ def svd(t: Tensor, free_u: Iterable[str], common_u: str, common_v: str, singular
     return u, s, v
 
 
-def qr(t: Tensor, free_q: Iterable[str], common_q: str, common_r: str) -> tuple[Tensor, Tensor]:
-    """Q, R with Q R = t, thin, by charge block; signs are LAPACK's."""
+def qr(t: Tensor, free: Iterable[str], common_q: str, common_r: str, free_of: str = "q") -> tuple[Tensor, Tensor]:
+    """Q, R with Q R = t, thin, by charge block; signs are LAPACK's. `free` names the edges of Q, or, with free_of "r", of R."""
+    if free_of not in ("q", "r"):
+        raise ValueError('free_of is "q" or "r"')
+    free = set(free)
+    free_q = free if free_of == "q" else set(t.names) - free
     rows = [n for n in t.names if n in set(free_q)]
     cols = [n for n in t.names if n not in rows]
     matrix, row, column = _as_matrix(t, rows, cols)
@@ -124,7 +130,8 @@ def qr(t: Tensor, free_q: Iterable[str], common_q: str, common_r: str) -> tuple[
 
 
 def expm(a: np.ndarray, step: int = 8) -> np.ndarray:
-    """Diagonal Pade approximant with scaling and squaring."""
+    """Diagonal Pade approximant with scaling and squaring, the textbook recurrence (Golub and Van Loan, Matrix
+    Computations, section on the matrix exponential)."""
     largest = np.abs(a).max(initial=0.0)
     j = max(0, 1 + int(math.log2(largest))) if largest > 0 else 0
     a = a / 2**j
@@ -175,34 +182,57 @@ def exponential(t: Tensor, pairs: Iterable[tuple[str, str]], step: int = 8) -> T
     return back if t.schema.is_complex else back.to_real()
 
 
-def gram(rows: DataFrame, by: str, row: str) -> DataFrame:
-    """(by, gram): X^T X of each group's rows, row-major, summed in the JVM with partial aggregation: rows are never
-    gathered, only n * n sums a group and task."""
-    cells = rows.select(by, F.posexplode(F.flatten(F.transform(row, lambda x: F.transform(row, lambda y: x * y)))).alias("cell", "x"))
-    sums = cells.groupBy(by, "cell").agg(F.sum("x").alias("x"))
-    return sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "x"))), lambda c: c["x"]).alias("gram"))
+def partial_factors(rows: DataFrame, by: str, row: str) -> DataFrame:
+    """(by, r): an upper triangular R of each group's rows in each partition, R^T R being the rows' share of X^T X. A task
+    holds one R a group and a few thousand rows, and never forms X^T X, so no digits are lost."""
+    kind = rows.schema[by].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            keys = batch.column(0).to_pylist()
+            own: dict = {}
+            for i, k in enumerate(keys):
+                own.setdefault(k, []).append(i)
+            lists = batch.column(1)
+            for k, at in own.items():
+                x = np.array(lists.take(pa.array(at)).to_pylist(), float)
+                held[k] = np.linalg.qr(np.vstack([held[k], x]) if k in held else x, mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), batch_kind), pa.array([r.ravel().tolist() for r in held.values()], pa.list_(pa.float64()))], names=[by, "r"])
+
+    batch_kind = to_arrow_type(rows.schema[by].dataType)
+    return rows.select(by, F.col(row).cast("array<double>")).mapInArrow(run, f"{by} {kind}, r array<double>")
+
+
+def _stacked(part: pd.DataFrame, width: int) -> np.ndarray:
+    return np.linalg.qr(np.vstack([np.reshape(r, (-1, width)) for r in part["r"]]), mode="r")
+
+
+def _width(rows: DataFrame, row: str) -> int:
+    first = rows.select(F.size(row).alias("n")).first()
+    return first["n"] if first else 0
 
 
 def tall_singular_values(rows: DataFrame, by: str, row: str) -> DataFrame:
-    """(by, k, s): singular values of each group's tall matrix, from its Gram matrix."""
+    """(by, k, s): singular values of each group's tall matrix, from factors of its parts stacked."""
+    width = _width(rows, row)
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        g = np.array(part["gram"].iloc[0])
-        n = math.isqrt(len(g))
-        s = np.sqrt(np.maximum(np.linalg.eigvalsh(g.reshape(n, n))[::-1], 0))
-        return pd.DataFrame({by: part[by].iloc[0], "k": np.arange(n), "s": s})
+        s = np.linalg.svd(_stacked(part, width), compute_uv=False)
+        return pd.DataFrame({by: part[by].iloc[0], "k": np.arange(len(s)), "s": s})
 
     kind = rows.schema[by].dataType.simpleString()
-    return gram(rows, by, row).groupBy(by).applyInPandas(kernel, f"{by} {kind}, k long, s double")
+    return partial_factors(rows, by, row).groupBy(by).applyInPandas(kernel, f"{by} {kind}, k long, s double")
 
 
 def tall_qr(rows: DataFrame, by: str, row: str, width: int) -> DataFrame:
-    """(by, r): the R factor, row-major with a positive diagonal, of each group's tall matrix, by Cholesky of its Gram
-    matrix."""
+    """(by, r): the R factor, row-major with a non-negative diagonal, of each group's tall matrix. A group with fewer rows
+    than columns, or dependent columns, has zero rows at the end or zeros on the diagonal."""
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        g = np.array(part["gram"].iloc[0]).reshape(width, width)
-        return pd.DataFrame({by: [part[by].iloc[0]], "r": [np.linalg.cholesky(g).T.ravel()]})
+        r = _stacked(part, width)
+        r = r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
+        return pd.DataFrame({by: [part[by].iloc[0]], "r": [np.vstack([r, np.zeros((width - len(r), width))]).ravel()]})
 
     kind = rows.schema[by].dataType.simpleString()
-    return gram(rows, by, row).groupBy(by).applyInPandas(kernel, f"{by} {kind}, r array<double>")
+    return partial_factors(rows, by, row).groupBy(by).applyInPandas(kernel, f"{by} {kind}, r array<double>")

@@ -112,6 +112,62 @@ def gibbs_heisenberg(l1: int, l2: int, J: float = -1.0) -> State:
     return s
 
 
+@model
+def gibbs_J1J2(l1: int, l2: int, J1: float = 1.0, J2: float = 0.5, side: int = 1) -> State:
+    """A density matrix: orbit 0 and 1 of each site are its two sides, and terms act on the first or on both."""
+    s = _spins(l1, l2, 2)
+    for o in range(side):
+        for a, b in s.sites():
+            for c, d, j in ((a + 1, b, J1), (a, b + 1, J1), (a + 1, b + 1, J2), (a + 1, b - 1, J2)):
+                if c < l1 and 0 <= d < l2:
+                    s.add([(a, b, o), (c, d, o)], -j * SS)
+    return s
+
+
+@model
+def boson_metal(l1: int, l2: int, J: float = 1.0, K: float = 1.0, mu: float = 0.0) -> State:
+    """Hard-core bosons that hop on bonds and turn opposite corners of plaquettes around."""
+    s = _spins(l1, l2)
+    up = np.array([[0.0, 1.0], [0.0, 0.0]])
+    ring = product(up, up.T, up.T, up)  # in the order of the corners (a, b), (a, b + 1), (a + 1, b), (a + 1, b + 1)
+    _bonds(s, 0.5 * J * np.real(product(SIGMA_X, SIGMA_X) + product(SIGMA_Y, SIGMA_Y)))
+    s.set_terms("single_site", -mu * (SIGMA_Z + np.eye(2)) / 2)
+    for a, b in itertools.product(range(l1 - 1), range(l2 - 1)):
+        s.add([(a, b, 0), (a, b + 1, 0), (a + 1, b, 0), (a + 1, b + 1, 0)], K * (ring + ring.T))
+    return s
+
+
+@model
+def cluster_heisenberg(l1: int, l2: int, c1: int, c2: int, J: float = -1.0) -> State:
+    """Spins of an l1 x l2 lattice, gathered in c1 x c2 sites with several orbits each."""
+    members: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for a, b in itertools.product(range(l1), range(l2)):
+        members.setdefault((c1 * a // l1, c2 * b // l2), []).append((a, b))
+    point = {spin: (*cell, o) for cell, own in members.items() for o, spin in enumerate(own)}
+    s = State(c1, c2)
+    s.dimensions = dict.fromkeys(point.values(), 2)
+    for a, b in point:
+        for other in ((a + 1, b), (a, b + 1)):
+            if other in point:
+                s.add([point[a, b], point[other]], -J * SS)
+    return s
+
+
+@model
+def kagome_heisenberg(l1: int, l2: int, J: float = -1.0) -> State:
+    """Three spins a cell: a corner, the middle of the bond down and the middle of the bond to the right."""
+    s = State(l1, l2)
+    s.dimensions = {(a, b, o): 2 for a, b in s.sites() for o in range(3) if o == 0 or (o == 1 and a < l1 - 1) or (o == 2 and b < l2 - 1)}
+    for a, b in s.sites():
+        triangles = [(a, b, 0), (a, b, 1), (a, b, 2)], [(a + 1, b + 1, 0), (a, b + 1, 1), (a + 1, b, 2)]
+        pairs = [p for t in triangles for p in itertools.combinations(t, 2) if (t is triangles[0] or t[0] not in p)]
+        pairs += [((a, b, 1), (a + 1, b, 0)), ((a, b, 2), (a, b + 1, 0))]
+        for x, y in pairs:
+            if x in s.dimensions and y in s.dimensions:
+                s.add([x, y], -J * SS)
+    return s
+
+
 @model
 def free_fermion(l1: int, l2: int, t: float = 1.0) -> State:
     """Hopping of spinless fermions, as spins in the order of sites: a hop has the parity of the sites between."""

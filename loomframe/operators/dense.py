@@ -89,12 +89,16 @@ class Dense:
             out[r["bi"] * size + r["at"]] = r["y"]
         return out
 
-    def redistribute(self, size: int) -> Dense:
-        """The same matrix in blocks of another size."""
+    def elements(self) -> DataFrame:
+        """(i, j, v) of all elements."""
         cells = self.df.select("bi", "bj", "m", F.posexplode("data").alias("at", "v"))
         i = F.col("bi") * self.size + F.floor(F.col("at") / F.col("m"))
         j = F.col("bj") * self.size + F.col("at") % F.col("m")
-        return Dense.from_elements(cells.select(i.alias("i"), j.alias("j"), "v"), "i", "j", "v", self.rows, self.columns, size)
+        return cells.select(i.cast("long").alias("i"), j.cast("long").alias("j"), "v")
+
+    def redistribute(self, size: int) -> Dense:
+        """The same matrix in blocks of another size."""
+        return Dense.from_elements(self.elements(), "i", "j", "v", self.rows, self.columns, size)
 
     def local(self) -> np.ndarray:
         if max(self.rows, self.columns) > LARGEST:

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Parameters that are sent to every task; more are joined.
+BROADCAST = 1_000_000
+
+
 def five_sums(r: Column, e: Column, m: Column | None = None) -> list[Column]:
     """n, sum r, sum r^2, sum e r, sum e r^2, sum e^2 r^2, each sample counted m times."""
     k = F.lit(1) if m is None else m
@@ -60,7 +64,8 @@ def conjugate_gradient(deltas: DataFrame, sample: str, parameter: str, delta: st
         return {r[parameter]: r["s"] for r in rows.groupBy(parameter).agg(F.sum(F.col(delta) * F.col(value)).alias("s")).collect()}
 
     def product(x: dict[int, float]) -> dict[int, float]:
-        table = F.broadcast(spark.createDataFrame(list(x.items()), f"{parameter} long, x double"))
+        table = spark.createDataFrame(list(x.items()), f"{parameter} long, x double")
+        table = F.broadcast(table) if len(x) <= BROADCAST else table
         along = deltas.join(table, parameter).groupBy(sample).agg(F.sum(F.col(delta) * F.col("x")).alias("dx"))
         return {k: v + shift * x[k] for k, v in transposed(deltas.join(along, sample), "dx").items()}
 

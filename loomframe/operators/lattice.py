@@ -99,6 +99,13 @@ class State:
         else:
             self.add(where, matrix)
 
+    def check_simple(self) -> None:
+        """Site tensors have one physical edge, real numbers and no charge; other models run as exact states only."""
+        if any(p[2] for p in self.dimensions):
+            raise NotImplementedError("site tensors have one orbit a site; use an exact state")
+        if any(np.abs(np.imag(m)).max() > 0 for m in self.terms.values()):
+            raise NotImplementedError("site tensors are real, and a term is complex; use an exact state")
+
     def check_hermite(self, threshold: float = 1e-8) -> None:
         for key, m in self.terms.items():
             if np.abs(m - m.conj().T).max() > threshold:
@@ -191,6 +198,8 @@ class State:
         """
         place = {p: i for i, p in enumerate(self.points)}
         own = samples.join(amplitudes.withColumnRenamed("amplitude", "ws"), "c")
+        if any(np.abs(np.imag(m)).max() > 0 for m in self.terms.values()):
+            raise NotImplementedError("local energies are real, and a term is complex")
         parts = []
         for t, (key, m) in enumerate(sorted(self.terms.items())):
             dims = [self.dimensions[p] for p in key]

@@ -10,6 +10,9 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: Draws after which a sampler gives up.
+TRIES = 10_000
+
 Site = tuple[int, int]
 Tensors = dict[Site, np.ndarray]
 
@@ -116,7 +119,14 @@ class DirectSampler:
         self.down = lines(self.full, cut)[1]
 
     def draw(self, rng: np.random.Generator) -> tuple[float, dict[Site, int]]:
-        """(possibility, configuration)."""
+        """(possibility, configuration); draws anew, `TRIES` times at most, where rounding leaves no weight."""
+        for _ in range(TRIES):
+            found = self._drawn(rng)
+            if found is not None:
+                return found
+        raise ValueError("every configuration has weight zero")
+
+    def _drawn(self, rng: np.random.Generator) -> tuple[float, dict[Site, int]] | None:
         l1, l2 = self.shape
         up, c, possibility = edge_line(l2), {}, 1.0
         for i in range(l1):
@@ -132,7 +142,7 @@ class DirectSampler:
                 envs = [step_right(env, up[j], o, self.down[i][j]) for o in options]
                 weight = np.array([max(float((e * right[j]).sum()), 0.0) for e in envs]) ** self.alpha
                 if weight.sum() == 0:
-                    return self.draw(rng)
+                    return None
                 weight /= weight.sum()
                 p = min(int(np.searchsorted(np.cumsum(weight), rng.random(), "right")), len(weight) - 1)
                 possibility *= weight[p]

@@ -30,6 +30,7 @@ class SamplingLattice:
 
     @classmethod
     def create(cls, state: State, dimension: int, cut: int = 16, seed: int = 0) -> SamplingLattice:
+        state.check_simple()
         tensors = {}
         for a, b in state.sites():
             shape = [1 if b == 0 else dimension, 1 if a == 0 else dimension, 1 if b == state.l2 - 1 else dimension, 1 if a == state.l1 - 1 else dimension, state.dimensions[a, b, 0]]
@@ -41,6 +42,7 @@ class SamplingLattice:
         return self.state.l1, self.state.l2
 
     def elements(self) -> list[peps.Element]:
+        self.state.check_simple()
         out = []
         for key, m in sorted(self.state.terms.items()):
             dims, moves = [self.state.dimensions[p] for p in key], {}
@@ -77,10 +79,13 @@ class SamplingLattice:
             elif method == "direct":
                 sampler = peps.DirectSampler(tensors, shape, cut, alpha)
                 for _ in range(steps):
-                    p, c = sampler.draw(rng)
-                    while restrict is not None and not restrict(c):
+                    for _ in range(peps.TRIES):
                         p, c = sampler.draw(rng)
-                    yield p, c
+                        if restrict is None or restrict(c):
+                            yield p, c
+                            break
+                    else:
+                        raise ValueError(f"the restriction admits none of {peps.TRIES} samples")
             elif method == "sweep":
                 c = start(chain) if start else {s: int(rng.integers(d)) for s, d in zip(sites, dims)}
                 for _ in range(steps):

@@ -60,6 +60,7 @@ class SimpleUpdate:
 
     @classmethod
     def create(cls, spark: SparkSession, state: State, dimension: int, seed: int = 0) -> SimpleUpdate:
+        state.check_simple()
         rows = []
         for a, b in state.sites():
             shape = [1 if b == 0 else dimension, 1 if a == 0 else dimension, 1 if b == state.l2 - 1 else dimension, 1 if a == state.l1 - 1 else dimension, state.dimensions[a, b, 0]]
@@ -78,6 +79,7 @@ class SimpleUpdate:
     def _bundle(self, spark: SparkSession, group: Iterable[tuple[Point, ...]], delta: float, cut: int) -> DataFrame:
         rows = []
         for t, key in enumerate(group):
+            self.state.check_simple()
             if len(key) > 2 or (len(key) == 2 and abs(key[0][0] - key[1][0]) + abs(key[0][1] - key[1][1]) != 1):
                 raise NotImplementedError("only terms on one site or on neighbours are updated")
             u = expm(-delta * np.asarray(self.state.terms[key], float))

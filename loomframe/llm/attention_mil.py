@@ -128,6 +128,9 @@ class Model:
         return [x.T @ da + DECAY * w, da.sum(axis=0), h.T @ dt + DECAY * v, h.T @ ds + DECAY * u, (de[:, None] * t * s).sum(axis=0), z.T @ d + DECAY * o, np.array([d.sum()])]
 
     def fit(self, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> Model:
+        """Trains in single precision, which halves the time."""
+        x, y = x.astype(np.float32), y.astype(np.float32)
+        self.w = [p.astype(np.float32) for p in self.w]
         first, second = [np.zeros_like(p) for p in self.w], [np.zeros_like(p) for p in self.w]
         for step in range(1, ROUNDS + 1):
             rate = RATE * min(1.0, 2 * (1 - step / (ROUNDS + 1)))
@@ -135,6 +138,7 @@ class Model:
                 first[i] = 0.9 * first[i] + 0.1 * g
                 second[i] = 0.999 * second[i] + 0.001 * g * g
                 self.w[i] = self.w[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
+        self.w = [p.astype(np.float64) for p in self.w]
         return self
 
     def score(self, x: np.ndarray, bag: np.ndarray) -> np.ndarray:

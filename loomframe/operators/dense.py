@@ -13,7 +13,7 @@ from ..functions.columns import soft_inverse
 from ..sources.storage import stored
 
 BLOCKS = "bi int, bj int, n int, m int, data array<double>"
-#: Rows and columns of a matrix that one machine may factorise.
+#: Rows and columns of a matrix that one machine factorises; larger systems are solved without a factor.
 LARGEST = 20_000
 
 
@@ -113,9 +113,32 @@ class Dense:
         return np.linalg.eigh(self.local())
 
 
-def pseudo_inverse_direction(delta: Dense, energies: np.ndarray, r: float = 1e-12, a: float = 0.0) -> np.ndarray:
+def solved(apply, b: np.ndarray, error: float = 1e-12) -> np.ndarray:
+    """The least solution of a positive semi-definite system by conjugate gradients, from products alone."""
+    x, r = np.zeros_like(b), b.copy()
+    p, rr = r.copy(), float(r @ r)
+    first = rr
+    for _ in range(2 * len(b)):
+        if rr <= error * error * first:
+            break
+        q = apply(p)
+        curve = float(p @ q)
+        if curve <= 0:
+            break  # nothing is left but what the matrix sends to zero
+        x, r = x + rr / curve * p, r - rr / curve * q
+        new = float(r @ r)
+        p, rr = r + new / rr * p, new
+    return x
+
+
+def pseudo_inverse_direction(delta: Dense, energies: np.ndarray, r: float = 1e-12, a: float = 0.0, largest: int = LARGEST) -> np.ndarray:
     """delta^T (delta delta^T)^+ energies for few samples and many parameters, with a soft inverse of eigenvalues; the
-    matrix over samples is the only one that goes to the driver."""
+    matrix over samples is the only one that goes to the driver. With more than `largest` samples the system is solved by
+    products with the distributed blocks, to which the relative cut `r` is the error, and vectors are on the driver."""
+    if delta.rows > largest:
+        kept = Dense(stored(delta.df, "delta"), delta.rows, delta.columns, delta.size)
+        back = kept.transpose()
+        return back.multiply_vector(solved(lambda v: kept.multiply_vector(back.multiply_vector(v)), energies, max(r, 1e-12)))
     kept = Dense(stored(delta.df, "delta"), delta.rows, delta.columns, delta.size)
     values, vectors = kept.multiply(kept.transpose()).eigh()
     cut = r * values.max() + a

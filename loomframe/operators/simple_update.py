@@ -108,6 +108,42 @@ class SimpleUpdate:
 
         return dealt.groupBy("group").applyInPandas(kernel, SITES)
 
+    def observe(self, terms: dict[tuple[Point, ...], np.ndarray]) -> dict[tuple[Point, ...], float]:
+        """Expectations of operators on one site or on two neighbours, the bond weights standing for the rest of the
+        lattice. Each is computed in a task of its own from its sites alone, so nothing grows with the lattice's states."""
+        spark = self.sites.sparkSession
+        keys = sorted(terms)
+        rows = []
+        for t, key in enumerate(keys):
+            if len(key) > 2 or (len(key) == 2 and abs(key[0][0] - key[1][0]) + abs(key[0][1] - key[1][1]) != 1):
+                raise NotImplementedError("only operators on one site or on neighbours are observed")
+            rows += [(t, p[0], p[1], np.real(terms[key]).ravel().tolist()) for p in key]
+        own = spark.createDataFrame(rows, "term int, l1 int, l2 int, o array<double>").join(self.sites, ["l1", "l2"])
+
+        def kernel(part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(["l1", "l2"]).reset_index(drop=True)
+            tensors = [np.array(part["data"].iloc[i]).reshape(list(part["shape"].iloc[i])) for i in range(len(part))]
+            weights = [[np.array(part[s].iloc[i]) for s in SIDES] for i in range(len(part))]
+            o = np.array(part["o"].iloc[0])
+            if len(part) == 1:
+                d = tensors[0].shape[4]
+                psi = scaled(tensors[0], weights[0], None, 1.0).reshape(-1, d)
+            else:
+                axis = 2 if part["l1"].iloc[0] == part["l1"].iloc[1] else 3
+                a = scaled(tensors[0], weights[0], None, 1.0)  # carries the weight of the bond between
+                b = scaled(tensors[1], weights[1], axis - 2, 1.0)
+                x = np.tensordot(a, b, ([axis], [axis - 2]))  # three sides and the state of either site
+                psi = np.moveaxis(x, 3, -2).reshape(-1, a.shape[4] * b.shape[4])
+            rho = psi.T @ psi
+            return pd.DataFrame({"term": [part["term"].iloc[0]], "v": [float((rho * o.reshape(rho.shape)).sum() / np.trace(rho))]})
+
+        found = own.groupBy("term").applyInPandas(kernel, "term int, v double").collect()  # a number an operator
+        return {keys[r["term"]]: r["v"] for r in found}
+
+    def environment_energy(self) -> float:
+        """Energy per site by `observe`."""
+        return sum(self.observe(self.state.terms).values()) / self.state.site_number
+
     def to_exact(self, spark: SparkSession) -> Tensor:
         """The state vector, contracted site by site; for small lattices."""
         rows = {(r["l1"], r["l2"]): r for r in self.sites.collect()}  # one row a site

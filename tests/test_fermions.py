@@ -133,3 +133,39 @@ def test_unsupported_lattices_are_refused():
     lattice = models.find("cluster_heisenberg")(2, 4, 2, 2)
     whole = models.find("heisenberg")(2, 4)
     assert np.allclose(np.linalg.eigvalsh(lattice.matrix()), np.linalg.eigvalsh(whole.matrix()))
+
+
+def test_operators_of_single_fermions(spark):
+    from loomframe.operators import toolkit
+
+    read = lambda t: {tuple(r[k] for k in t.keys): r["re"] for r in t.nonzero().df.collect()}
+    assert read(toolkit.number(spark)) == {(1, 1): 1.0} and read(toolkit.unit(spark)) == {(0, 0): 1.0, (1, 1): 1.0}
+    there_and_back = toolkit.hop(spark, 0, 1).contract(toolkit.hop(spark, 1, 0), [("I0", "O0"), ("I1", "O1")]).transpose(["O0", "O1", "I0", "I1"])
+    assert read(there_and_back) == {(1, 0, 1, 0): 1.0}  # n (1 - n)
+    two = toolkit.kronecker_product(toolkit.number(spark), toolkit.rename_io(toolkit.number(spark), [1]))
+    assert two.names == ("O0", "I0", "O1", "I1") and read(two) == {(1, 1, 1, 1): 1.0}
+    assert read(two.transpose(["O0", "O1", "I0", "I1"])) == {(1, 1, 1, 1): -1.0}  # two odd edges changed places
+    assert read(toolkit.half_reverse(toolkit.half_reverse(toolkit.number(spark)))) == {(1, 1): 1.0}
+
+
+def test_energies_by_bond_weights(spark):
+    """On a chain the weights are the environment, once they have settled."""
+    from loomframe.operators.simple_update import SimpleUpdate
+
+    su = SimpleUpdate.create(spark, models.find("heisenberg")(1, 3, -1.0), 2, 1)
+    su.update(6, 0.2, 2)
+    su.update(4, 0.01, 2)
+    assert su.environment_energy() == pytest.approx(su.energy(spark), abs=5e-3)
+    one = su.observe({((0, 1, 0),): np.eye(2)})
+    assert one[((0, 1, 0),)] == pytest.approx(1)
+
+
+def test_directions_without_a_factor(spark):
+    from loomframe.operators.dense import Dense, pseudo_inverse_direction
+
+    r = np.random.default_rng(4)
+    a, e = r.normal(size=(7, 30)), r.normal(size=7)
+    d = Dense.of(spark, a, 4)
+    want = np.linalg.pinv(a) @ e
+    assert np.allclose(pseudo_inverse_direction(d, e), want)
+    assert np.allclose(pseudo_inverse_direction(d, e, largest=3), want)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.lazy import Node, Root
 from ..functions.symmetry import BOSE_U1, FERMI_U1, FERMI_Z2, NO, Edge, Schema, Symmetry
-from ..operators import estimators, fermions, linear_algebra
+from ..operators import conversion, estimators, fermions, linear_algebra, toolkit
 from ..operators.dense import Dense
+from ..operators.exact import inner
 from ..operators.lattice import SZ, State, amplitudes, product
+from ..operators.sampling import SamplingLattice
+from ..operators.simple_update import SimpleUpdate
 from ..operators.tensor import Tensor, safe_contract, safe_rename
 from ..sources import storage, terms, text
 from . import models
@@ -496,8 +499,6 @@ def exact_observe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def exact_energy(spark: SparkSession, state: State, v: Tensor) -> float:
-    from ..operators.exact import inner
-
     return inner(v, state.apply(spark, v)) / inner(v, v) / state.site_number
 
 
@@ -528,3 +529,70 @@ def lazy_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(1).select(F.lit(twice()).cast("long").alias("v"))
 
 
+
+
+# --- site tensors
+
+@query("select * from (values (cast(0 as bigint),cast(1 as bigint),cast(1 as bigint),cast(0 as bigint),1.0::double),(1,0,0,1,1.0)) t(\"e_O0\",\"e_O1\",\"e_I0\",\"e_I1\",v)")
+def fermi_hopping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A fermion changes sites, from the inner to the outer states.
+    t = toolkit.hopping(spark).transpose(["O0", "O1", "I0", "I1"]).nonzero()
+    return t.df.select(*t.keys, F.col("re").alias("v"))
+
+
+def _aligned(spark: SparkSession) -> SamplingLattice:
+    """Site tensors of ones: all spins along x, for which the local energy of 2 x 2 sites is 4 / 4 everywhere."""
+    lattice = SamplingLattice.create(models.find("heisenberg")(2, 2, -1.0), 1)
+    lattice.tensors = {s: np.ones_like(t) for s, t in lattice.tensors.items()}
+    return lattice
+
+
+def _sampled(spark: SparkSession, method: str, steps: int) -> DataFrame:
+    rows = _aligned(spark).observe(spark, method, 2, steps, deltas=False).withColumn("g", F.lit(0))
+    out = estimators.observe(rows, ["g"], F.col("r"), F.col("e"))
+    return rounded(out.join(estimators.instability(rows, ["g"], F.col("r")), "g"), expect=8, dev=8, v=8).select("expect", "dev", "v")
+
+
+_ALIGNED = "select 1.0::double expect,0.0::double dev,0.0::double v"
+
+
+@query(_ALIGNED)
+def sampling_ergodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, "ergodic", 0)
+
+
+@query(_ALIGNED)
+def sampling_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, "direct", 20)
+
+
+@query(_ALIGNED)
+def sampling_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sampled(spark, "sweep", 20)
+
+
+@query("select cast(8 as bigint) parameters,0.0::double largest")
+def sampling_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # In an eigenstate no parameter lowers the energy.
+    rows = _aligned(spark).observe(spark, "ergodic", 2, 0)
+    cells = rows.select("r", "e", F.explode(F.arrays_zip("parameter", "delta")).alias("z")).select("r", "e", F.col("z.parameter").alias("p"), F.col("z.delta").alias("d"))
+    g = estimators.gradient(cells, ["p"], F.col("r"), F.col("e"), F.col("d"))
+    return g.agg(F.count("*").alias("parameters"), F.round(F.max(F.abs("g")), 8).alias("largest"))
+
+
+@query("select -0.375::double energy")
+def simple_update_energy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Imaginary time leads two spins to their singlet, whose bond weights are the whole environment.
+    su = SimpleUpdate.create(spark, models.find("heisenberg")(1, 2, -1.0), 2, 3)
+    su.update(8, 0.5, 2)
+    return spark.range(1).select(F.round(F.lit(su.environment_energy()), 4).alias("energy"))
+
+
+@query("select 1.0::double overlap")
+def conversion_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # One state by way of its site tensors and contracted at once.
+    su = SimpleUpdate.create(spark, models.find("heisenberg")(2, 2, -1.0), 2, 5)
+    a, b = su.to_exact(spark), conversion.exact_from_sampling(spark, conversion.sampling_from_simple(su))
+    a = Tensor(storage.stored(a.df, "vector"), a.schema)
+    overlap = inner(a, b) ** 2 / inner(a, a) / inner(b, b)
+    return spark.range(1).select(F.round(F.lit(overlap), 8).alias("overlap"))

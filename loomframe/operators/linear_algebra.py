@@ -190,13 +190,11 @@ def partial_factors(rows: DataFrame, by: str, row: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            own: dict = {}
-            for i, k in enumerate(keys):
-                own.setdefault(k, []).append(i)
-            lists = batch.column(1)
-            for k, at in own.items():
-                x = np.array(lists.take(pa.array(at)).to_pylist(), float)
+            keys = batch.column(0).dictionary_encode()
+            number = keys.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            every = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for n in np.unique(number).tolist():
+                k, x = keys.dictionary[n].as_py() if n >= 0 else None, every[number == n]
                 held[k] = np.linalg.qr(np.vstack([held[k], x]) if k in held else x, mode="r")
         yield pa.RecordBatch.from_arrays([pa.array(list(held), batch_kind), pa.array([r.ravel().tolist() for r in held.values()], pa.list_(pa.float64()))], names=[by, "r"])
 

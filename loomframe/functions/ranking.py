@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,3 +49,24 @@ def odometer(index: Column, radices: list[int]) -> list[Column]:
         out.append((F.floor(index / below) % r).cast("int"))
         below *= r
     return out
+
+
+def differences(before: Column, after: Column) -> Column:
+    """(place, old, new) of each state in which two configurations differ."""
+    pairs = F.transform(F.arrays_zip(before.alias("old"), after.alias("new")), lambda p, i: F.struct(i.alias("place"), p["old"].alias("old"), p["new"].alias("new")))
+    return F.filter(pairs, lambda p: p["old"] != p["new"])
+
+
+def replaced(configuration: Column, changes: Column) -> Column:
+    """The configuration with the given (place, old, new) states put in."""
+    return F.aggregate(changes, configuration, lambda c, p: F.transform(c, lambda x, i: F.when(i == p["place"], p["new"]).otherwise(x)))
+
+
+def uniform(seed: int, low: float = 0.0, high: float = 1.0) -> Callable[[Column], Column]:
+    """A draw that depends on the key and the seed alone."""
+    return lambda key: (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1 << 53)) + 0.5) / float(1 << 53) * (high - low) + low
+
+
+def normal(seed: int, mean: float = 0.0, deviation: float = 1.0) -> Callable[[Column], Column]:
+    a, b = uniform(2 * seed), uniform(2 * seed + 1)
+    return lambda key: F.sqrt(-2 * F.log(a(key))) * F.cos(b(key) * 6.283185307179586) * deviation + mean

@@ -82,6 +82,49 @@ def amplitude(tensors: Tensors, shape: Site, c: dict[Site, int], cut: int) -> fl
     return float(out[0, 0])
 
 
+class Surroundings:
+    """A configuration with the lines above and below each row, computed when first asked for, so that the amplitude of a
+    configuration that differs in a few sites takes the rows of these sites alone."""
+
+    def __init__(self, tensors: Tensors, shape: Site, c: dict[Site, int], cut: int):
+        self.tensors, self.shape, self.c, self.cut = tensors, shape, dict(c), cut
+        self.rows = chosen(tensors, shape, c)
+        self.up, self.down = {0: edge_line(shape[1])}, {shape[0] - 1: edge_line(shape[1])}
+
+    def above(self, i: int) -> list[np.ndarray]:
+        for k in range(max(j for j in self.up if j <= i), i):
+            self.up[k + 1] = absorbed(self.up[k], self.rows[k], self.cut)
+        return self.up[i]
+
+    def below(self, i: int) -> list[np.ndarray]:
+        for k in range(min(j for j in self.down if j >= i), i, -1):
+            self.down[k - 1] = absorbed(self.down[k], flipped(self.rows[k]), self.cut)
+        return self.down[i]
+
+    def amplitude(self, change: dict[Site, int] | None = None) -> float:
+        """With other states on some sites."""
+        change = {s: x for s, x in (change or {}).items() if self.c[s] != x}
+        first, last = (min(i for i, _ in change), max(i for i, _ in change)) if change else (self.shape[0] - 1,) * 2
+        line = self.above(first)
+        for i in range(first, last + 1):
+            line = absorbed(line, [self.tensors[i, j][..., change.get((i, j), self.c[i, j])] for j in range(self.shape[1])], self.cut)
+        env = np.ones((1, 1))
+        for a, b in zip(line, self.below(last)):
+            env = np.einsum("xy,xva,yvb->ab", env, a, b, optimize=True)
+        return float(env[0, 0])
+
+    def changed(self, change: dict[Site, int]) -> Surroundings:
+        """The surroundings after a change; lines that don't pass the changed rows stay."""
+        out = Surroundings(self.tensors, self.shape, self.c | change, self.cut)
+        rows = [i for (i, j), x in change.items() if self.c[i, j] != x]
+        if rows:
+            out.up |= {i: line for i, line in self.up.items() if i <= min(rows)}
+            out.down |= {i: line for i, line in self.down.items() if i >= max(rows)}
+        else:
+            out.up, out.down = dict(self.up), dict(self.down)
+        return out
+
+
 def holes(tensors: Tensors, shape: Site, c: dict[Site, int], cut: int) -> Tensors:
     """The derivative of the amplitude by each site's tensor; zero at the physical states that c doesn't have."""
     rows = chosen(tensors, shape, c)
@@ -157,31 +200,33 @@ Element = tuple[list[Site], dict[tuple[int, ...], list[tuple[tuple[int, ...], fl
 
 def sweep(tensors: Tensors, shape: Site, elements: list[Element], c: dict[Site, int], cut: int, rng: np.random.Generator, restrict: Callable[[dict[Site, int]], bool] | None = None) -> tuple[dict[Site, int], float]:
     """One Metropolis step over all terms in their order; the configuration and its amplitude."""
-    ws = amplitude(tensors, shape, c, cut)
+    here = Surroundings(tensors, shape, c, cut)
+    ws = here.amplitude()
     for sites, moves in elements:
-        old = tuple(c[s] for s in sites)
+        old = tuple(here.c[s] for s in sites)
         options = moves.get(old)
         if not options:
             continue
         new, _ = options[int(rng.integers(len(options)))]
-        trial = c | dict(zip(sites, new))
-        if restrict is not None and not restrict(trial):
+        change = dict(zip(sites, new))
+        if restrict is not None and not restrict(here.c | change):
             continue
-        other = amplitude(tensors, shape, trial, cut)
+        other = here.amplitude(change)
         back = len(moves.get(new, ())) or 1
         if ws == 0 or rng.random() < (other / ws) ** 2 * len(options) / back:
-            c, ws = trial, other
-    return c, ws
+            here, ws = here.changed(change), other
+    return here.c, ws
 
 
 def local_energy(tensors: Tensors, shape: Site, elements: list[Element], c: dict[Site, int], ws: float, cut: int) -> float:
-    known = {tuple(sorted(c.items())): ws}
+    here = Surroundings(tensors, shape, c, cut)
+    known: dict[tuple, float] = {(): ws}
     total = 0.0
     for sites, moves in elements:
         for new, v in moves.get(tuple(c[s] for s in sites), ()):
-            trial = c | dict(zip(sites, new))
-            key = tuple(sorted(trial.items()))
+            change = {s: x for s, x in zip(sites, new) if c[s] != x}
+            key = tuple(sorted(change.items()))
             if key not in known:
-                known[key] = amplitude(tensors, shape, trial, cut)
+                known[key] = here.amplitude(change)
             total += v * known[key] / ws
     return total

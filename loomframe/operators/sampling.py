@@ -58,9 +58,9 @@ class SamplingLattice:
             at += self.tensors[s].size
         return out
 
-    def observe(self, spark: SparkSession, method: str, chains: int, steps: int, seed: int = 0, deltas: bool = True, start: Callable[[int], dict[peps.Site, int]] | None = None, restrict: Callable[[dict[peps.Site, int]], bool] | None = None, alpha: float = 1.0) -> DataFrame:
+    def observe(self, spark: SparkSession, method: str, chains: int, steps: int, seed: int = 0, deltas: bool = True, start: Callable[[int], dict[peps.Site, int]] | None = None, restrict: Callable[[dict[peps.Site, int]], bool] | None = None, alpha: float = 1.0, equilibrate: int = 0) -> DataFrame:
         """SAMPLES rows by `sweep`, `direct` or `ergodic` sampling; with `ergodic` chains share all configurations. A
-        sample of amplitude zero has weight zero and counts."""
+        sample of amplitude zero has weight zero and counts. Sweeping chains take `equilibrate` steps before the first."""
         shape, cut, elements, offsets = self.shape, self.cut, self.elements(), self.offsets()
         sites = sorted(self.tensors)
         dims = [self.tensors[s].shape[4] for s in sites]
@@ -88,6 +88,8 @@ class SamplingLattice:
                         raise ValueError(f"the restriction admits none of {peps.TRIES} samples")
             elif method == "sweep":
                 c = start(chain) if start else {s: int(rng.integers(d)) for s, d in zip(sites, dims)}
+                for _ in range(equilibrate):
+                    c, _ = peps.sweep(tensors, shape, elements, c, cut, rng, restrict)
                 for _ in range(steps):
                     c, ws = peps.sweep(tensors, shape, elements, c, cut, rng, restrict)
                     yield max(ws * ws, 1e-300), c
@@ -186,3 +188,17 @@ class SamplingLattice:
             rate /= 2
         self.tensors = keep
         return rate
+
+
+def finite_differences(spark: SparkSession, lattice: SamplingLattice, parameters: list[int], step: float = 1e-4, chains: int = 4) -> dict[int, float]:
+    """Derivatives of the exact energy by some parameters, from two energies each; to check gradients with."""
+    offsets = lattice.offsets()
+
+    def energy(parameter: int, shift: float) -> float:
+        site = max((s for s in offsets if offsets[s] <= parameter), key=lambda s: offsets[s])
+        tensors = {s: t.copy() for s, t in lattice.tensors.items()}
+        tensors[site].ravel()[parameter - offsets[site]] += shift
+        rows = SamplingLattice(lattice.state, tensors, lattice.cut).observe(spark, "ergodic", chains, 0, deltas=False).withColumn("g", F.lit(0))
+        return estimators.observe(rows, ["g"], F.col("r"), F.col("e")).first()["expect"]
+
+    return {p: (energy(p, step) - energy(p, -step)) / (2 * step) for p in parameters}

@@ -380,6 +380,20 @@ class Tensor:
         keys = [(F.col(col(n)) + a).alias(col(n)) for n, a in zip(self.names, first)]
         return replace(self, df=self.df.filter(~inside).select(*self.keys, *self.values).unionAll(own.df.select(*keys, *self.values)))
 
+    def wrong_elements(self) -> DataFrame:
+        """Rows that a tensor of this schema can't have: indices outside of their edges, charges that don't add up to zero,
+        or one element twice."""
+        known = [(n, e) for n, e in zip(self.names, self.schema.edges) if e is not None]
+        ok = F.lit(True)
+        for n, e in known:
+            ok &= F.col(col(n)).between(0, e.dimension - 1)
+        if self.schema.symmetry != NO:
+            for k, kind in enumerate(self.schema.symmetry.kinds):
+                q = C.total([C.charge(e, k, F.col(col(n))) for n, e in known])
+                ok &= (q % 2 if kind == "z2" else q) == 0
+        rows = self.df.groupBy(*self.keys).agg(F.count("*").alias("times"))
+        return rows.filter(~ok | (F.col("times") > 1))
+
     def nonzero(self) -> Tensor:
         condition = F.col("re") != 0
         return replace(self, df=self.df.filter(condition | (F.col("im") != 0) if self.schema.is_complex else condition))

@@ -4,9 +4,10 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomframe.operators import peps
-from loomframe.operators.sampling import SamplingLattice
+from loomframe.operators.sampling import SamplingLattice, finite_differences
 from loomframe.plans import models
 
 
@@ -95,3 +96,32 @@ def test_conversions_and_measurements(spark):
     assert lattice.tensors[0, 0].shape == (1, 1, 3, 3, 2) and np.allclose(vector(lattice), keep)
     out = Shell(spark).run("seed 2\ngm_create heisenberg 1 2 D=2\ngm_conf_create neel\ngm_run 4 2 0.1 sampling=ergodic restrict=balanced relative=True\ngm_to_ex\nex_energy")
     assert len(out[3]) == 2 and out[5] < 0.1
+
+
+def test_amplitudes_by_changed_rows():
+    """The rows that change, between lines that are kept, give the amplitude of the whole contraction."""
+    rng = np.random.default_rng(8)
+    lattice = SamplingLattice.create(models.find("heisenberg")(3, 3), 2, 64, 3)
+    c = {s: int(rng.integers(2)) for s in lattice.tensors}
+    here = peps.Surroundings(lattice.tensors, (3, 3), c, 64)
+    for _ in range(12):
+        change = {s: int(rng.integers(2)) for s in list(lattice.tensors)[:: int(rng.integers(2, 9))]}
+        want = peps.amplitude(lattice.tensors, (3, 3), here.c | change, 64)
+        assert np.isclose(here.amplitude(change), want)
+        here = here.changed(change)
+        assert np.isclose(here.amplitude(), want)
+
+
+def test_gradient_by_finite_differences(spark):
+    lattice = SamplingLattice.create(models.find("heisenberg")(2, 2), 2, 16, 5)
+    rows = lattice.observe(spark, "ergodic", 2, 0)
+    cells = rows.select("r", "e", F.explode(F.arrays_zip("parameter", "delta")).alias("z")).select("r", "e", F.col("z.parameter").alias("p"), F.col("z.delta").alias("d"))
+    # Samples in which a parameter has no part count with a derivative of zero.
+    sums = rows.agg(F.sum("r").alias("r"), F.sum(F.col("r") * F.col("e")).alias("re")).first()
+    own = {r["p"]: r for r in cells.groupBy("p").agg(F.sum(F.col("r") * F.col("d")).alias("rd"), F.sum(F.col("r") * F.col("e") * F.col("d")).alias("red")).collect()}
+    some = sorted(own)[:3]
+    got = finite_differences(spark, lattice, some)
+    for p in some:
+        want = 2 * (own[p]["red"] / sums["r"] - sums["re"] / sums["r"] * own[p]["rd"] / sums["r"])
+        assert np.isclose(got[p], want, atol=1e-5)
+    assert lattice.observe(spark, "sweep", 2, 3, deltas=False, equilibrate=2).count() == 6

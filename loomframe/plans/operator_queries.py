@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions import ranking
 from ..functions.lazy import Node, Root
 from ..functions.symmetry import BOSE_U1, FERMI_U1, FERMI_Z2, NO, Edge, Schema, Symmetry
 from ..operators import conversion, estimators, fermions, linear_algebra, toolkit
@@ -596,3 +597,27 @@ def conversion_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = Tensor(storage.stored(a.df, "vector"), a.schema)
     overlap = inner(a, b) ** 2 / inner(a, a) / inner(b, b)
     return spark.range(1).select(F.round(F.lit(overlap), 8).alias("overlap"))
+
+
+@query("select c_nationkey%3 e_x,c_custkey%3 e_y,cast(count(*) as bigint) times from customer group by 1,2 having (c_nationkey%3)+(c_custkey%3)<>2 or count(*)>1")
+def validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Rows of a table that aren't elements of a tensor with charges.
+    rows = read(spark, sf_dir, "customer").select((F.col("c_nationkey") % 3).alias("e_x"), (F.col("c_custkey") % 3).alias("e_y"), F.lit(1.0).alias("re"))
+    return Tensor(rows, Schema(("x", "y"), (UNITS, UNITS), BOSE_U1)).wrong_elements()
+
+
+@query("with c as (select l_orderkey k,l_linenumber n,[l_linenumber%2,l_suppkey%2,l_partkey%2] a,[l_suppkey%2,l_partkey%2,l_linenumber%2] b,l_partkey p from lineitem) select k,n,p,cast(count(*) as bigint) rows,cast(sum((a[1]<>b[1])::int+(a[2]<>b[2])::int+(a[3]<>b[3])::int) as bigint) changes,true whole from c group by 1,2,3")
+def configuration_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # What differs between two configurations, put into the first, gives the second.
+    bits = [F.col(c).cast("long") % 2 for c in ("l_linenumber", "l_suppkey", "l_partkey")]
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"), F.array(*bits).alias("a"), F.array(*bits[1:], bits[0]).alias("b"))
+    rows = rows.withColumn("d", ranking.differences(F.col("a"), F.col("b")))
+    same = ranking.replaced(F.col("a"), F.col("d")) == F.col("b")
+    return rows.groupBy("k", "n", "p").agg(F.count("*").alias("rows"), F.sum(F.size("d")).cast("long").alias("changes"), F.min(same).alias("whole"))
+
+
+@query("select true uniform,true normal")
+def random_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws = read(spark, sf_dir, "orders").select(ranking.uniform(3, -1, 3)(F.col("o_orderkey")).alias("u"), ranking.normal(4, 5, 2)(F.col("o_orderkey")).alias("z"))
+    out = draws.agg(F.avg("u").alias("u"), F.avg("z").alias("z"), F.stddev("z").alias("d"), F.min("u").alias("low"), F.max("u").alias("high"))
+    return out.select(((F.abs(F.col("u") - 1) < 0.1) & (F.col("low") >= -1) & (F.col("high") <= 3)).alias("uniform"), ((F.abs(F.col("z") - 5) < 0.1) & (F.abs(F.col("d") - 2) < 0.1)).alias("normal"))

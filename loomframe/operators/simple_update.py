@@ -7,7 +7,6 @@ one DataFrame job, in which each term's sites meet in one task, and every other
 
 from __future__ import annotations
 
-from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +24,29 @@ SITES = "l1 int, l2 int, shape array<int>, data array<double>, left array<double
 SIDES = ("left", "up", "right", "down")
 
 
+Gate = tuple[tuple[Point, ...], np.ndarray]
+
+
+def distance(key: tuple[Point, ...]) -> int:
+    return abs(key[0][0] - key[1][0]) + abs(key[0][1] - key[1][1])
+
+
+def routed(key: tuple[Point, Point], u: np.ndarray, dimensions: dict[Point, int]) -> list[Gate]:
+    """Gates on neighbours that do what u does to two distant sites: the first site's state is swapped along a path to the
+    other site, and back afterwards."""
+    (a, b, _), (c, d, _) = key
+    path = [(i, b, 0) for i in range(a, c + (1 if c >= a else -1), 1 if c >= a else -1)]
+    path += [(c, j, 0) for j in range(b + (1 if d > b else -1), d + (1 if d > b else -1), 1 if d > b else -1)] if d != b else []
+    if len({dimensions[p] for p in path}) > 1:
+        raise NotImplementedError("sites of several dimensions can't be swapped")
+    n = dimensions[path[0]]
+    swap = np.eye(n * n).reshape(n, n, n, n).transpose(1, 0, 2, 3).reshape(n * n, n * n)
+    there = [(tuple(sorted(path[i : i + 2])), swap) for i in range(len(path) - 2)]
+    x, y = path[-2:]
+    turned = u if x < y else u.reshape(n, n, n, n).transpose(1, 0, 3, 2).reshape(n * n, n * n)
+    return [*there, ((min(x, y), max(x, y)), turned), *there[::-1]]
+
+
 def scaled(a: np.ndarray, weights: list[np.ndarray], skip: int | None, power: float) -> np.ndarray:
     for axis, w in enumerate(weights):
         if axis != skip:
@@ -69,20 +91,23 @@ class SimpleUpdate:
         return cls(state, stored(spark.createDataFrame(rows, SITES), "sites"))
 
     def update(self, steps: int, delta: float, cut: int) -> None:
-        """Each step applies exp(-delta H) term by term, bundles forward and then backward."""
-        spark = self.sites.sparkSession
-        groups = bundles(sorted(self.state.terms))
+        """Each step applies exp(-delta H) term by term, bundles forward and then backward. Terms of two distant sites go
+        after the bundles, each by way of swaps along a path between its sites."""
+        self.state.check_simple()
+        near = [k for k in sorted(self.state.terms) if len(k) == 1 or (len(k) == 2 and distance(k) == 1)]
+        far = [k for k in sorted(self.state.terms) if len(k) == 2 and distance(k) > 1]
+        if len(near) + len(far) < len(self.state.terms):
+            raise NotImplementedError("terms of three and more sites aren't updated")
+        gate = {k: expm(-delta * np.asarray(np.real(m), float)) for k, m in self.state.terms.items()}
+        groups = [[(k, gate[k]) for k in group] for group in bundles(near)]
+        groups += [[g] for k in far for g in routed(k, gate[k], self.state.dimensions)]
         for _ in range(steps):
-            for group in [*groups, *reversed(groups)]:
-                self.sites = stored(self._bundle(spark, group, delta, cut), "sites")
+            for group in [*groups, *reversed(groups)]:  # a routed term's gates read alike from both ends
+                self.sites = stored(self._bundle(group, cut), "sites")
 
-    def _bundle(self, spark: SparkSession, group: Iterable[tuple[Point, ...]], delta: float, cut: int) -> DataFrame:
-        rows = []
-        for t, key in enumerate(group):
-            self.state.check_simple()
-            if len(key) > 2 or (len(key) == 2 and abs(key[0][0] - key[1][0]) + abs(key[0][1] - key[1][1]) != 1):
-                raise NotImplementedError("only terms on one site or on neighbours are updated")
-            u = expm(-delta * np.asarray(self.state.terms[key], float))
+    def _bundle(self, group: list[Gate], cut: int) -> DataFrame:
+        spark, rows = self.sites.sparkSession, []
+        for t, (key, u) in enumerate(group):
             rows += [(t, p[0], p[1], u.ravel().tolist()) for p in key]
         tasks = spark.createDataFrame(rows, "term int, l1 int, l2 int, u array<double>")
         # A site without a term is a group of its own.

@@ -169,3 +169,28 @@ def test_directions_without_a_factor(spark):
     want = np.linalg.pinv(a) @ e
     assert np.allclose(pseudo_inverse_direction(d, e), want)
     assert np.allclose(pseudo_inverse_direction(d, e, largest=3), want)
+
+
+def test_distant_terms_are_updated(spark):
+    """Without a cut, swaps and all, a step is the product of the exact exponentials."""
+    from loomframe.operators.lattice import SZ, State, product
+    from loomframe.operators.linear_algebra import expm
+    from loomframe.operators.simple_update import SimpleUpdate
+
+    state = State(2, 2)
+    state.set_physics(2)
+    rng = np.random.default_rng(6)
+    h = rng.normal(size=(4, 4))
+    state.add([(0, 0, 0), (1, 1, 0)], h + h.T)
+    state.add([(0, 1, 0), (1, 0, 0)], product(SZ, SZ) + np.diag([0.1, 0.2, 0.3, 0.4]))
+    su = SimpleUpdate.create(spark, state, 1, 2)
+    vector = lambda t: np.array([r["re"] for r in t.df.orderBy(*sorted(t.keys)).collect()])
+    before = vector(su.to_exact(spark))
+    su.update(1, 0.3, 64)
+    want = expm(-0.6 * state.matrix()) @ before  # the two terms share no site, and each acts twice
+    assert np.allclose(vector(su.to_exact(spark)), want / np.linalg.norm(want))
+    with pytest.raises(NotImplementedError):
+        three = State(1, 3)
+        three.set_physics(2)
+        three.add([(0, i, 0) for i in range(3)], np.eye(8))
+        SimpleUpdate.create(spark, three, 1).update(1, 0.1, 2)

@@ -7,10 +7,12 @@ import itertools
 import os
 import sys
 from collections.abc import Callable
+from types import ModuleType
 
 import numpy as np
 
 from ..operators.lattice import SIGMA_X, SIGMA_Y, SIGMA_Z, SS, SX, SY, SZ, State, product
+from ..operators.neural import NETWORKS, Network
 
 MODELS: dict[str, Callable[..., State]] = {}
 
@@ -20,13 +22,20 @@ def model(f: Callable[..., State]) -> Callable[..., State]:
     return f
 
 
-def find(name: str) -> Callable[..., State]:
-    """A registered model, else `abstract_state` of a module in the current folder, on $LOOMPATH, or importable."""
-    if name in MODELS:
-        return MODELS[name]
+def _imported(name: str) -> ModuleType:
     places = [os.getcwd(), *os.environ.get("LOOMPATH", "").split(os.pathsep)]
     sys.path[:0] = [p for p in places if p and p not in sys.path]
-    return importlib.import_module(name).abstract_state
+    return importlib.import_module(name)
+
+
+def find(name: str) -> Callable[..., State]:
+    """A registered model, else `abstract_state` of a module in the current folder, on $LOOMPATH, or importable."""
+    return MODELS[name] if name in MODELS else _imported(name).abstract_state
+
+
+def network(name: str) -> Callable[..., Network]:
+    """A network of the library, else `network` of a module found as those of models are."""
+    return NETWORKS[name] if name in NETWORKS else _imported(name).network
 
 
 def _spins(l1: int, l2: int, orbits: int = 1) -> State:

@@ -16,6 +16,7 @@ from ..operators import conversion, estimators, fermions, linear_algebra, toolki
 from ..operators.dense import Dense
 from ..operators.exact import inner
 from ..operators.lattice import SZ, State, amplitudes, product
+from ..operators.neural import Autoregressive, NeuralState, read_weights, write_weights
 from ..operators.sampling import SamplingLattice
 from ..operators.simple_update import SimpleUpdate
 from ..operators.tensor import Tensor, safe_contract, safe_rename
@@ -621,3 +622,62 @@ def random_closures(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = read(spark, sf_dir, "orders").select(ranking.uniform(3, -1, 3)(F.col("o_orderkey")).alias("u"), ranking.normal(4, 5, 2)(F.col("o_orderkey")).alias("z"))
     out = draws.agg(F.avg("u").alias("u"), F.avg("z").alias("z"), F.stddev("z").alias("d"), F.min("u").alias("low"), F.max("u").alias("high"))
     return out.select(((F.abs(F.col("u") - 1) < 0.1) & (F.col("low") >= -1) & (F.col("high") <= 3)).alias("uniform"), ((F.abs(F.col("z") - 5) < 0.1) & (F.abs(F.col("d") - 2) < 0.1)).alias("normal"))
+
+
+# --- neural states
+
+def _flat(network: str, **options) -> NeuralState:
+    """Equal amplitudes, all spins along x, as for the site tensors of ones above."""
+    lattice = NeuralState.create(models.find("heisenberg")(2, 2, -1.0), network, **options)
+    flat = {"table": 1.0, "matrices": 1.0, "level": 1.0}
+    lattice.tensors = {n: np.full_like(a, flat.get(n, 0.0)) for n, a in lattice.tensors.items()}
+    return lattice
+
+
+def _seen(spark: SparkSession, lattice: NeuralState, method: str, steps: int) -> DataFrame:
+    rows = lattice.observe(spark, method, 2, steps, deltas=False).withColumn("g", F.lit(0))
+    out = estimators.observe(rows, ["g"], F.col("r"), F.col("e"), F.col("m"))
+    return rounded(out.join(rows.groupBy("g").agg(F.sum("m").cast("long").alias("n")), "g"), expect=8, dev=8).select("expect", "dev", "n")
+
+
+@query("select 1.0::double expect,0.0::double dev,cast(16 as bigint) n")
+def neural_ergodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(spark, _flat("table"), "ergodic", 0)
+
+
+@query("select 1.0::double expect,0.0::double dev,cast(2000 as bigint) n")
+def neural_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # 1000 draws by each of two chains, told apart by configuration and counted.
+    return _seen(spark, _flat("autoregressive"), "direct", 1000)
+
+
+@query("select 1.0::double expect,0.0::double dev,cast(40 as bigint) n")
+def neural_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _seen(spark, _flat("convolution"), "sweep", 20)
+
+
+@query("select cast(8 as bigint) parameters,0.0::double largest")
+def neural_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # In an eigenstate no parameter lowers the energy.
+    lattice = _flat("chain", bond=1)
+    change = lattice.gradient(lattice.observe(spark, "ergodic", 2, 0))
+    return spark.createDataFrame([(len(change), abs(round(float(np.abs(change).max()), 8)))], "parameters long, largest double")
+
+
+@query("select cast(6 as bigint) configurations,true whole,true balanced")
+def neural_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # With two spins up and two down there are six configurations, whose squared amplitudes add up to one.
+    lattice = NeuralState.create(models.find("heisenberg")(2, 2), "autoregressive", counts=[2, 2], seed=1)
+    rows = lattice.observe(spark, "ergodic", 2, 0, deltas=False)
+    up = F.aggregate("c", F.lit(0), lambda a, x: a + x)
+    return rows.agg(F.count("*").alias("configurations"), (F.abs(F.sum("r") - 1) < 1e-9).alias("whole"), F.min(up == 2).alias("balanced"))
+
+
+@query("select true same")
+def neural_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    state = models.find("heisenberg")(2, 2)
+    first, second = Autoregressive(state, seed=1), Autoregressive(state, seed=2)
+    path = storage.shared_dir(spark, "weights")
+    write_weights(spark, first, path)
+    read_weights(spark, second, path)
+    return spark.createDataFrame([(all(np.array_equal(a, second.parameters[n]) for n, a in first.parameters.items()),)], "same boolean")

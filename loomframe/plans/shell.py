@@ -1,4 +1,4 @@
-"""Commands over exact states and simple updates: one a line, `#` comments, `\\` joins lines, arguments by name or place."""
+"""Commands over exact states, simple updates, sampling lattices and neural states: one a line, `#` comments, `\\` joins lines, arguments by name or place."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from typing import Any
 
 from pyspark.sql import SparkSession
 
-from ..operators import conversion
+from ..operators import conversion, neural
 from ..operators.sampling import SamplingLattice
 from ..operators.simple_update import SimpleUpdate
 from ..sources.text import read_tensor, write_tensor
@@ -131,3 +131,24 @@ class Shell:
 
     def do_gm_load(self, path: str) -> None:
         self.gm = conversion.sampling_from_simple(SimpleUpdate(self.gm.state, self.spark.read.parquet(path)), self.gm.cut)
+
+    def do_nn_create(self, name: str, *args: Any, **kwargs: Any) -> None:
+        self.nn_state, self.nn_begin = models.find(name)(*args, **kwargs), None
+
+    def do_nn_network_create(self, name: str, **options: Any) -> None:
+        self.nn = neural.NeuralState(self.nn_state, models.network(name)(self.nn_state, **{"seed": self.seed_value} | options))
+
+    def do_nn_conf_create(self, name: str) -> None:
+        sites = plugins.beginnings.find(name)(dict.fromkeys(self.nn_state.sites(), 0))
+        self.nn_begin = [sites[p[:2]] for p in self.nn_state.points]
+
+    def do_nn_run(self, samples: int, steps: int, rate: float, sampling: str = "sweep", chains: int = 4, **options: Any) -> list[tuple[float, float]]:
+        begin = self.nn_begin
+        start = (lambda _: begin) if begin else None
+        return list(self.nn.descend(self.spark, steps, rate, sampling, chains, samples, self.seed_value, start=start, **options))
+
+    def do_nn_network_dump(self, path: str) -> None:
+        neural.write_weights(self.spark, self.nn.network, path)
+
+    def do_nn_network_load(self, path: str) -> None:
+        neural.read_weights(self.spark, self.nn.network, path)

@@ -53,9 +53,10 @@ def accepted(ratio: Column, u: Column, power: float = 2.0) -> Column:
     return F.when(ratio.isNotNull() & (u < F.pow(ratio, power)), F.lit(1)).otherwise(F.lit(0))
 
 
-def conjugate_gradient(deltas: DataFrame, sample: str, parameter: str, delta: str, target: str, steps: int, error: float = 0.0, shift: float = 0.0) -> dict[int, float]:
-    """x with (D^T D + shift) x = D^T e, matrix-free: deltas is long, (sample, parameter, delta), with the sample's target
-    e in each of its rows. Vectors over parameters are on the driver, those over samples never are."""
+def conjugate_gradient(deltas: DataFrame, sample: str, parameter: str, delta: str, target: str, steps: int, error: float = 0.0, shift: float = 0.0, means: dict[int, float] | None = None) -> dict[int, float]:
+    """x with (D^T D - m m^T + shift) x = D^T e, matrix-free: deltas is long, (sample, parameter, delta), with the sample's
+    target e in each of its rows. Weighted deltas and their `means` m give centred deltas' products without a row for the
+    zeros. Vectors over parameters are on the driver, those over samples never are."""
     from pyspark.sql import functions as F  # noqa: F811
 
     spark = deltas.sparkSession
@@ -67,7 +68,8 @@ def conjugate_gradient(deltas: DataFrame, sample: str, parameter: str, delta: st
         table = spark.createDataFrame(list(x.items()), f"{parameter} long, x double")
         table = F.broadcast(table) if len(x) <= BROADCAST else table
         along = deltas.join(table, parameter).groupBy(sample).agg(F.sum(F.col(delta) * F.col("x")).alias("dx"))
-        return {k: v + shift * x[k] for k, v in transposed(deltas.join(along, sample), "dx").items()}
+        common = sum(m * x.get(k, 0.0) for k, m in means.items()) if means else 0.0
+        return {k: v + shift * x[k] - (means[k] * common if means else 0.0) for k, v in transposed(deltas.join(along, sample), "dx").items()}
 
     b = transposed(deltas, target)
     x, r, p = dict.fromkeys(b, 0.0), dict(b), dict(b)

@@ -288,6 +288,17 @@ def sweeps(network: Network, terms: Terms, c: np.ndarray, draws: list[np.random.
         yield c
 
 
+def looked(network: Network, terms: Terms, ids: np.ndarray, chain: np.ndarray, m: np.ndarray, p: np.ndarray, c: np.ndarray, ws: np.ndarray, deltas: bool, restrict: Restriction | None) -> pd.DataFrame:
+    """Rows of samples whose amplitudes aren't zero."""
+    e = local_energies(network, terms, c, ws, restrict) if len(c) else np.zeros(0)
+    parameter, delta = [[]] * len(c), [[]] * len(c)
+    if deltas and len(c):
+        every = network.deltas(c, ws)
+        parameter = [np.flatnonzero(row) for row in every]
+        delta = [row[at] for row, at in zip(every, parameter)]
+    return pd.DataFrame({"sample_id": ids, "chain_id": chain, "possibility": p, "ws": ws, "r": ws * ws / p, "e": e, "c": list(c.astype(np.int32)), "parameter": parameter, "delta": delta, "m": m})
+
+
 class NeuralState(SamplingLattice):
     """Sampling, observation and descent with a network in place of site tensors. Samples have a multiplicity `m`, with
     which each counts."""
@@ -357,16 +368,26 @@ class NeuralState(SamplingLattice):
                         ok &= restrict(c)
                     chain, number, m, c, ws = chain[ok], number[ok], m[ok], c[ok], ws[ok]
                     p = np.ones(len(c)) if method == "ergodic" else ws * ws
-                    e = local_energies(network, terms, c, ws, restrict) if len(c) else np.zeros(0)
-                    parameter, delta = [[]] * len(c), [[]] * len(c)
-                    if deltas and len(c):
-                        every_delta = network.deltas(c, ws)
-                        parameter = [np.flatnonzero(row) for row in every_delta]
-                        delta = [row[at] for row, at in zip(every_delta, parameter)]
-                    yield pd.DataFrame({"sample_id": chain * (1 << 32) + number, "chain_id": chain, "possibility": p, "ws": ws, "r": ws * ws / p, "e": e, "c": list(c.astype(np.int32)), "parameter": parameter, "delta": delta, "m": m})
+                    yield looked(network, terms, chain * (1 << 32) + number, chain, m, p, c, ws, deltas, restrict)
 
         return stored(spark.range(chains).repartition(min(chains, 64), "id").mapInPandas(run, SAMPLES + ", m long"), "samples")
 
+    def observe_again(self, spark: SparkSession, samples: DataFrame, deltas: bool = True, restrict: Restriction | None = None) -> DataFrame:
+        terms, shared = self.terms(), spark.sparkContext.broadcast(self.network)  # the model's parameters
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            network = shared.value
+            for batch in batches:
+                for b in (batch.iloc[i : i + BLOCK] for i in range(0, len(batch), BLOCK)):
+                    c = np.array(b["c"].tolist(), int)
+                    ws = network.amplitude(c)
+                    ok = ws != 0
+                    own = (b[n].to_numpy()[ok] for n in ("sample_id", "chain_id", "m", "possibility"))
+                    yield looked(network, terms, *own, c[ok], ws[ok], deltas, restrict)
+
+        rows = samples.select("sample_id", "chain_id", "possibility", "c", "m")
+        return stored(rows.mapInPandas(run, SAMPLES + ", m long"), "samples")
+
     def energy(self, samples: DataFrame) -> tuple[float, float]:
         """Energy per site and its deviation."""
         r = estimators.observe(samples.withColumn("g", F.lit(1)), ["g"], F.col("r"), F.col("e"), F.col("m")).first()

@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.storage import stored
+from ..sources.storage import drop_stored, stored
 from . import estimators, peps
 from .lattice import State
 
 SAMPLES = "sample_id long, chain_id long, possibility double, ws double, r double, e double, c array<int>, parameter array<long>, delta array<double>"
 
+COLUMNS = ["sample_id", "chain_id", "possibility", "ws", "r", "e", "c", "parameter", "delta"]
+
 
 @dataclass
 class SamplingLattice:
@@ -58,10 +60,40 @@ class SamplingLattice:
             at += self.tensors[s].size
         return out
 
+    def _look(self, deltas: bool) -> Callable[[peps.Tensors, float, dict[peps.Site, int]], tuple]:
+        """What a sample shows: ws, r, e, c, parameter, delta."""
+        shape, cut, elements, offsets, sites = self.shape, self.cut, self.elements(), self.offsets(), sorted(self.tensors)
+
+        def look(tensors: peps.Tensors, p: float, c: dict[peps.Site, int]) -> tuple:
+            ws = peps.amplitude(tensors, shape, c, cut)
+            parameter, delta, e = [], [], 0.0
+            if ws != 0:
+                e = peps.local_energy(tensors, shape, elements, c, ws, cut)
+                if deltas:
+                    for s, h in peps.holes(tensors, shape, c, cut).items():
+                        at = np.flatnonzero(h)
+                        parameter += (at + offsets[s]).tolist()
+                        delta += (h.ravel()[at] / ws).tolist()
+            return ws, ws * ws / p, e, [c[s] for s in sites], parameter, delta
+
+        return look
+
+    def observe_again(self, spark: SparkSession, samples: DataFrame, deltas: bool = True) -> DataFrame:
+        """The configurations of `samples`, drawn as they were, seen with the tensors of now."""
+        look, sites = self._look(deltas), sorted(self.tensors)
+        shared = spark.sparkContext.broadcast(self.tensors)  # the model's parameters
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                rows = [(i, k, p, *look(shared.value, p, dict(zip(sites, map(int, c))))) for i, k, p, c in zip(b["sample_id"], b["chain_id"], b["possibility"], b["c"])]
+                yield pd.DataFrame(rows, columns=COLUMNS)
+
+        return stored(samples.select("sample_id", "chain_id", "possibility", "c").mapInPandas(run, SAMPLES), "samples")
+
     def observe(self, spark: SparkSession, method: str, chains: int, steps: int, seed: int = 0, deltas: bool = True, start: Callable[[int], dict[peps.Site, int]] | None = None, restrict: Callable[[dict[peps.Site, int]], bool] | None = None, alpha: float = 1.0, equilibrate: int = 0) -> DataFrame:
         """SAMPLES rows by `sweep`, `direct` or `ergodic` sampling; with `ergodic` chains share all configurations. A
         sample of amplitude zero has weight zero and counts. Sweeping chains take `equilibrate` steps before the first."""
-        shape, cut, elements, offsets = self.shape, self.cut, self.elements(), self.offsets()
+        shape, cut, elements, look = self.shape, self.cut, self.elements(), self._look(deltas)
         sites = sorted(self.tensors)
         dims = [self.tensors[s].shape[4] for s in sites]
         every = int(np.prod(dims))
@@ -102,17 +134,8 @@ class SamplingLattice:
                 for chain in batch["id"].tolist():
                     rows = []
                     for n, (p, c) in enumerate(sampled(chain)):
-                        ws = peps.amplitude(tensors, shape, c, cut)
-                        parameter, delta, e = [], [], 0.0
-                        if ws != 0:
-                            e = peps.local_energy(tensors, shape, elements, c, ws, cut)
-                            if deltas:
-                                for s, h in peps.holes(tensors, shape, c, cut).items():
-                                    at = np.flatnonzero(h)
-                                    parameter += (at + offsets[s]).tolist()
-                                    delta += (h.ravel()[at] / ws).tolist()
-                        rows.append((chain * (1 << 32) + n, chain, p, ws, ws * ws / p, e, [c[s] for s in sites], parameter, delta))
-                    yield pd.DataFrame(rows, columns=["sample_id", "chain_id", "possibility", "ws", "r", "e", "c", "parameter", "delta"])
+                        rows.append((chain * (1 << 32) + n, chain, p, *look(tensors, p, c)))
+                    yield pd.DataFrame(rows, columns=COLUMNS)
 
         return stored(spark.range(chains).repartition(min(chains, 64), "id").mapInPandas(run, SAMPLES), "samples")
 
@@ -140,15 +163,11 @@ class SamplingLattice:
         total, mean = self._totals(samples)
         n = sum(t.size for t in self.tensors.values())
         long = samples.select("sample_id", "r", "e", F.explode(F.arrays_zip("parameter", "delta")).alias("z")).select("sample_id", "r", "e", "z.parameter", "z.delta")
-        means = np.zeros(n)
-        for r in long.groupBy("parameter").agg((F.sum(F.col("r") * F.col("delta")) / total).alias("m")).collect():
-            means[r["parameter"]] = r["m"]
+        means = {r["parameter"]: r["m"] for r in long.groupBy("parameter").agg((F.sum(F.col("r") * F.col("delta")) / total).alias("m")).collect()}
         root = F.sqrt(F.col("r") / total)
-        # Centred, every sample has every parameter.
-        shared = F.array(*(F.lit(float(m)) for m in means))
-        dense = samples.select("sample_id", root.alias("w"), (root * (F.col("e") - mean)).alias("t"), F.map_from_arrays("parameter", "delta").alias("d"), F.posexplode(shared).alias("parameter", "m"))
-        rows = dense.select("sample_id", F.col("parameter").cast("long").alias("parameter"), (F.col("w") * (F.coalesce(F.try_element_at("d", F.col("parameter").cast("long")), F.lit(0.0)) - F.col("m"))).alias("delta"), "t")
-        x = estimators.conjugate_gradient(stored(rows, "deltas"), "sample_id", "parameter", "delta", "t", steps, 1e-6, shift)
+        rows = stored(long.select("sample_id", "parameter", (root * F.col("delta")).alias("delta"), (root * (F.col("e") - mean)).alias("t")), "deltas")
+        x = estimators.conjugate_gradient(rows, "sample_id", "parameter", "delta", "t", steps, 1e-6, shift, means)
+        drop_stored(rows)
         return np.array([2 * x.get(i, 0.0) for i in range(n)])
 
     def apply(self, change: np.ndarray) -> None:
@@ -163,26 +182,38 @@ class SamplingLattice:
         p = estimators.normalisation(samples.filter("ws <> 0").withColumn("g", F.lit(1)), ["g"], F.col("ws"), self.state.site_number).first()["param"]
         self.tensors = {s: t / p for s, t in self.tensors.items()}
 
-    def descend(self, spark: SparkSession, steps: int, rate: float, method: str = "sweep", chains: int = 4, samples: int = 50, seed: int = 0, relative: bool = False, momentum: float = 0.0, natural: bool = False, **options) -> Iterator[tuple[float, float]]:
+    def descend(self, spark: SparkSession, steps: int, rate: float, method: str = "sweep", chains: int = 4, samples: int = 50, seed: int = 0, relative: bool = False, momentum: float = 0.0, natural: bool = False, random: bool = False, search: bool = False, stop: Callable[[], bool] | None = None, **options) -> Iterator[tuple[float, float]]:
         """Gradient steps; yields energy per site and deviation before each. `relative` scales a step to the tensors'
-        norm, `momentum` adds the last direction."""
+        norm, `momentum` adds the last direction, `random` keeps the gradient's signs alone, each times a draw from 0 to 1,
+        `search` seeks each step's rate on its own samples. Ends early once `stop` says so."""
         last = np.zeros(sum(t.size for t in self.tensors.values()))
         for step in range(steps):
+            if stop is not None and stop():
+                return
             rows = self.observe(spark, method, chains, samples, seed + 7919 * step, **options)
             self.history.append(self.energy(rows))
             yield self.history[-1]
-            last = (self.natural_gradient(rows) if natural else self.gradient(rows)) + momentum * last
+            change = self.natural_gradient(rows) if natural else self.gradient(rows)
+            if random:
+                change = np.sign(change) * np.random.default_rng([seed, step]).random(len(change))
+            last = change + momentum * last
             size = np.linalg.norm(last)
-            self.apply(last * (rate * self.norm() / size if relative and size else rate))
+            scale = rate * self.norm() / size if relative and size else rate
+            self.apply(last * (self.line_search(rows, last, scale) if search else scale))
             self.normalise(rows)
+            drop_stored(rows)
 
-    def line_search(self, samples: DataFrame, gradient: np.ndarray, rate: float, trial: Callable[[], DataFrame], most: int = 8) -> float:
-        """A rate at which the gradient at the trial point, seen on samples of `trial`, still points along `gradient`."""
+    def line_search(self, samples: DataFrame, gradient: np.ndarray, rate: float, trial: Callable[[], DataFrame] | None = None, most: int = 8) -> float:
+        """A rate at which the gradient at the trial point, seen on samples of `trial` or else on `samples`, still points
+        along `gradient`."""
         keep = dict(self.tensors)
         for _ in range(most):
             self.tensors = dict(keep)
             self.apply(gradient * rate)
-            along = float(self.gradient(trial()) @ gradient)
+            seen = trial() if trial else self.observe_again(samples.sparkSession, samples)
+            along = float(self.gradient(seen) @ gradient)
+            if trial is None:
+                drop_stored(seen)
             if along >= 0:
                 break
             rate /= 2

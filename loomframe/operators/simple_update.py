@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.symmetry import Edge, Schema
-from ..sources.storage import stored
+from ..sources.storage import drop_stored, stored
 from .lattice import Point, State, bundles
 from .linear_algebra import expm
 from .tensor import Tensor
@@ -101,9 +101,12 @@ class SimpleUpdate:
         gate = {k: expm(-delta * np.asarray(np.real(m), float)) for k, m in self.state.terms.items()}
         groups = [[(k, gate[k]) for k in group] for group in bundles(near)]
         groups += [[g] for k in far for g in routed(k, gate[k], self.state.dimensions)]
+        first = self.sites
         for _ in range(steps):
             for group in [*groups, *reversed(groups)]:  # a routed term's gates read alike from both ends
-                self.sites = stored(self._bundle(group, cut), "sites")
+                last, self.sites = self.sites, stored(self._bundle(group, cut), "sites")
+                if last is not first:  # which others may read
+                    drop_stored(last)
 
     def _bundle(self, group: list[Gate], cut: int) -> DataFrame:
         spark, rows = self.sites.sparkSession, []

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomframe.operators import neural
 from loomframe.operators.lattice import SY
 from loomframe.operators.neural import Autoregressive, NeuralState
+from loomframe.operators.sampling import SamplingLattice
 from loomframe.plans import models
 from loomframe.plans.shell import Shell
 
@@ -128,3 +129,37 @@ def test_two_orbits(spark):
 def test_commands(spark, tmp_path):
     out = Shell(spark).run(f"seed 2\nnn_create ising 2 2\nnn_network_create chain bond=2\nnn_conf_create neel\nnn_run 20 2 0.01 relative=True\nnn_network_dump {tmp_path}/w\nnn_network_load {tmp_path}/w\nnn_run 0 1 0.01 sampling=ergodic")
     assert len(out[4]) == 2 and len(out[7]) == 1
+
+
+def test_same_samples(spark):
+    """Samples seen again are the same, and a line search on them finds a rate that lowers the energy; steps with random
+    sizes, and stops."""
+    lattice = NeuralState.create(models.find("ising")(2, 2), "chain", bond=2, seed=3)
+    sites = SamplingLattice.create(models.find("ising")(2, 2), 2, seed=3)
+    for each in (lattice, sites):
+        rows = each.observe(spark, "ergodic", 2, 0)
+        again = each.observe_again(spark, rows)
+        near = again.alias("a").join(rows.alias("b"), "sample_id").filter("abs(a.e - b.e) < 1e-9 and abs(a.r - b.r) < 1e-9")
+        assert near.count() == rows.count() == 16
+    g = sites.gradient(rows)
+    rate, before = sites.line_search(rows, g, 64.0), sites.energy(rows)[0]
+    sites.apply(g * rate)
+    assert rate < 64 and sites.energy(sites.observe_again(spark, rows))[0] < before
+    assert len(list(lattice.descend(spark, 3, 0.01, "ergodic", 2, 0, random=True, search=True))) == 3
+    asked = iter([False, True])
+    assert len(list(lattice.descend(spark, 3, 0.01, "ergodic", 2, 0, stop=lambda: next(asked)))) == 1
+
+
+def test_natural_gradient(spark):
+    """Against the dense metric of centred deltas."""
+    for lattice in (NeuralState.create(models.find("ising")(2, 2), "table", seed=3), NeuralState.create(models.find("ising")(2, 2), "autoregressive", hidden=2, seed=3)):
+        c = configurations(lattice.network)
+        ws = lattice.network.amplitude(c)
+        w, d = ws**2 / (ws @ ws), lattice.network.deltas(c, ws)
+        e = lattice.state.matrix() @ ws / ws
+        d, e = d - w @ d, e - w @ e
+        metric = d.T @ (w[:, None] * d)
+        shift = 1e-2 * np.trace(metric) / len(metric)
+        want = 2 * np.linalg.solve(metric + shift * np.eye(len(metric)), d.T @ (w * e))
+        got = lattice.natural_gradient(lattice.observe(spark, "ergodic", 2, 0), 60)
+        assert np.allclose(got, want, atol=1e-4 * np.abs(want).max())

@@ -14,9 +14,12 @@ from .common import drop_stored, stored
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(id, label) for the vertices of links (a, b): label is the smallest id of the vertex's component."""
-    both = stored(links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(links.select(F.col("b"), F.col("a"))), "links")
-    labels = stored(both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), "labels")
+    """(id, label) for the vertices of links (a, b): label is the smallest id of the vertex's component.
+
+    Each round reads the links again, so they should be a stored table; the result is one.
+    """
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionAll(links.select(F.col("b"), F.col("a")))
+    labels, last = both.groupBy("id").agg(F.least("id", F.min("other")).alias("label")), None
     while True:
         told = both.join(labels.withColumnRenamed("id", "other"), "other").groupBy("id").agg(F.min("label").alias("told"))
         lower = labels.join(told, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("told", "label")).alias("now"))
@@ -24,8 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         jumped = lower.join(up, "now", "left").select("id", "was", F.least("now", F.coalesce("above", "now")).alias("label"))
         new = stored(jumped, "labels")
         changed = new.filter("label <> was").limit(1).count()
-        drop_stored(labels)
-        labels = new.select("id", "label")
+        if last is not None:
+            drop_stored(last)
+        last, labels = new, new.select("id", "label")
         if not changed:
-            drop_stored(both)
             return labels

@@ -251,20 +251,19 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str) -> DataFrame:
     texts = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("digest") == F.col("w_digest"))).select("class", "text")
     sets = stored(full_sets(texts, size).groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
     links = stored(confirmed(pairs, sets, percent), "links")
-    labels = stored(components(links).withColumnRenamed("id", "class"), "labels")
+    labels = components(links).withColumnRenamed("id", "class")
     placed = members.select("bucket", "class", "n").join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
     placed = stored(placed, "placed")
-    tasks = stored(block_tasks(placed), "tasks")
-    able = stored(hopeful(tasks.join(classes.select("class", "sketch", "bands"), "class"), percent), "hopeful")
+    able = hopeful(block_tasks(placed).join(classes.select("class", "sketch", "bands"), "class"), percent)
     further = stored(block_links(able.join(sets, "class"), percent).distinct(), "links")
     joined = components(further).select(F.col("id").alias("label"), F.col("label").alias("whole"))
     label = F.coalesce("label", "class")
     named = classes.select("class", *same, "head").join(labels, "class", "left").select(*same, "head", label.alias("label"))
     named = named.join(joined, "label", "left").select(*same, "head", F.coalesce("whole", "label").alias("whole"))
     named = stored(named, "named")
-    least = stored(named.groupBy("whole").agg(F.min("head").alias("least")), "least")
-    owner = stored(named.select(*same, "whole").join(least, "whole").select(*same, "least"), "owner")
-    drop_stored(members, sets, links, labels, placed, tasks, able, further, named, least)
+    drop_stored(classes, members, sets, links, labels, placed, further, joined)
+    least = named.groupBy("whole").agg(F.min("head").alias("least"))
+    owner = named.select(*same, "whole").join(least, "whole").select(*same, "least")
     return signed.select("id", "digest", *same).join(owner, same, "left").select("id", "digest", "n", "least")
 
 

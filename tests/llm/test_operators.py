@@ -1,5 +1,6 @@
 """Each operator against a brute-force version on a small table of awkward rows, and on an empty one."""
 
+import itertools
 import math
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomframe.llm import attention_mil, context_tree, decontaminate, license_scan, minhash, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
+from loomframe.llm import attention_mil, common, components, context_tree, decontaminate, license_scan, minhash, packing, quality_rules, substring_dedup, suffix_dedup, url_filter
 
 UP = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 RNG = np.random.default_rng(0)
@@ -110,6 +111,28 @@ def test_near_duplicates(docs, none, size):
     assert minhash.near_duplicates(none, size).count() == 0
 
 
+def test_near_duplicates_store_what_is_read_again(spark, tmp_path, monkeypatch):
+    """Each table written starts processes for its files and folders: none is written but those that are read more than once."""
+    monkeypatch.setattr(common, "shared_dir", lambda spark, what: f"file://{tmp_path}/{what}-{next(number)}")
+    number, written = itertools.count(), Counter()
+
+    def stored(df, what):
+        written[what] += 1
+        return common.stored(df, what)
+
+    monkeypatch.setattr(minhash, "stored", stored)
+    monkeypatch.setattr(components, "stored", stored)
+    texts = [prose(50, 300 + i % 12) + " one more" * (i // 12) for i in range(40)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in minhash.one_of_each(df, 2).collect()) == list(range(12))
+    rounds = written.pop("labels")
+    assert rounds <= 6
+    assert written == Counter(signatures=1, classes=1, members=1, sets=1, links=2, placed=1, named=1, kept=1)
+    left = [f for f in tmp_path.rglob("*") if f.is_file()]
+    assert not [f for f in left if f.name == "_SUCCESS"]
+    assert {f.parent.name.rpartition("-")[0] for f in left} == {"signatures", "named", "kept"}
+
+
 def test_clusters_lose_no_link(spark):
     """A chain of texts in which neighbours are similar enough and others aren't, and a star around a text of no link."""
     words = prose(400, 9).split()

@@ -262,7 +262,8 @@ def grouped(docs: DataFrame, size: int, percent: int, key: str) -> DataFrame:
     named = named.join(joined, "label", "left").select(*same, "head", F.coalesce("whole", "label").alias("whole"))
     named = stored(named, "named")
     drop_stored(classes, members, sets, links, labels, placed, further, joined)
-    least = named.groupBy("whole").agg(F.min("head").alias("least"))
+    # Stored, so that the join may split a large group: it can't behind an aggregate by the same key.
+    least = stored(named.groupBy("whole").agg(F.min("head").alias("least")), "least")
     owner = named.select(*same, "whole").join(least, "whole").select(*same, "least")
     return signed.select("id", "digest", *same).join(owner, same, "left").select("id", "digest", "n", "least")
 
